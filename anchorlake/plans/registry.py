@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from anchorlake.plans import references
+from anchorlake.plans import overturns, references
 
-_MODULES = [references]
+_MODULES = [references, overturns]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
