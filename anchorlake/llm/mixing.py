@@ -10,6 +10,8 @@ from anchorlake.common import keep
 
 #: Ranks fall into so many buckets, of which only the one that the target falls into is sorted.
 BUCKETS = 65_536
+#: The first pass takes documents up to the goal; the others fill what is missing with documents that still fit.
+PASSES = 4
 _UNIT = float(2**53)
 
 
@@ -36,14 +38,27 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     return has.withColumn("goal", F.coalesce(F.least(F.col("_share") * whole, F.col("_most").cast("double")), F.lit(0.0))).drop("_share", "_most")
 
 
+def _take(ranked: DataFrame, rest: DataFrame, key: str) -> DataFrame:
+    """Rows of each source in the order of their ranks while their tokens add up to no more than ``rest``."""
+    per = ranked.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).join(rest, "source")
+    upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+    per = per.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
+    at = per.where("before <= rest").select("source", "bucket", "rest", "before", F.col("upto").alias("_upto"))
+    marked = ranked.join(at, ["source", "bucket"])
+    run = F.sum("tokens").over(W.partitionBy("source", "bucket").orderBy("rank", key).rowsBetween(W.unboundedPreceding, W.currentRow))
+    last = marked.where("_upto > rest").withColumn("_run", F.col("before") + run).where("_run <= rest")
+    cols = [key, "source", "tokens"]
+    return marked.where("_upto <= rest").select(*cols).unionByName(last.select(*cols))
+
+
 def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The mixture (``key, source, tokens, copies``; copies at least 1) and its report per target source.
 
     ``docs`` has ``key``, ``source`` and ``tokens``, one row per document; ``targets`` has ``source``, ``weight`` and
     ``max_repeats``. Sources that aren't targets, null sources and documents of no tokens aren't used. Each document of a source
     is taken floor(goal / available) times for certain; for the rest, documents are ranked by random odds over inclusion odds
-    (Pareto order sampling) and taken from the first until the goal in tokens is reached, the document that crosses it included
-    if that comes closer. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report
+    (Pareto order sampling) and taken from the first while they fit the goal in tokens; what then is missing is filled in the same
+    way with the documents after that still fit it. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report
     has ``source, weight, max_repeats, available, goal, tokens, documents, share``; sources that give nothing have share 0.
 
     Of a source of any size only sums per bucket of ranks and the rows of one bucket in 65,536 are sorted in one task.
@@ -56,17 +71,17 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     # One row per target source: the targets are a list made by hand; its size is checked by Spark's own broadcast threshold.
     ranked = docs.join(few, "source").withColumn("rank", F.when(F.col("rest") > 0, (u / (1 - u)) / (p / (1 - p)))).withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1 / (p / (1 - p))) * BUCKETS))
     ranked = keep(ranked)
-    per = ranked.where("rest > 0").groupBy("source", "bucket", "rest").agg(F.sum("tokens").alias("n"))
-    upto = F.sum("n").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
-    per = per.withColumn("upto", upto).withColumn("before", F.col("upto") - F.col("n"))
-    edge = per.where("before < rest AND upto >= rest").select("source", F.col("bucket").alias("edge"), "before")
-    marked = ranked.join(edge, "source", "left")
-    run = F.sum("tokens").over(W.partitionBy("source").orderBy("rank", key).rowsBetween(W.unboundedPreceding, W.currentRow))
-    last = marked.where("bucket = edge").withColumn("upto", F.col("before") + run)
-    last = last.withColumn("more", (F.col("upto") - F.col("tokens") / 2 <= F.col("rest")).cast("int"))
-    other = marked.where("edge IS NULL OR bucket <> edge OR bucket IS NULL").withColumn("more", F.coalesce((F.col("bucket") < F.col("edge")).cast("int"), F.lit(0)))
-    cols = [key, "source", "tokens", F.least(F.col("certain") + F.col("more"), F.col("max_repeats")).cast("long").alias("copies")]
-    out = other.select(*cols).unionByName(last.select(*cols)).where("copies > 0")
+    taken, left, rest = None, ranked.where("rest > 0").select(key, "source", "tokens", "rank", "bucket"), few.select("source", "rest")
+    for k in range(PASSES):
+        got = _take(left, rest, key)
+        if k + 1 < PASSES:
+            got = keep(got)
+        taken = got if taken is None else taken.unionByName(got)
+        if k + 1 < PASSES:
+            rest = keep(rest.join(got.groupBy("source").agg(F.sum("tokens").alias("_got")), "source", "left").select("source", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("rest")))
+            left = left.join(got.select(key), key, "left_anti").join(rest, "source").where("tokens <= rest").drop("rest")
+    out = ranked.join(taken.select(key, F.lit(1).alias("more")), key, "left")
+    out = out.select(key, "source", "tokens", F.least(F.col("certain") + F.coalesce("more", F.lit(0)), F.col("max_repeats")).cast("long").alias("copies")).where("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"))
     report = plan.join(got, "source", "left").fillna(0, ["tokens", "documents"])
     report = report.withColumn("share", F.coalesce(F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(0))), F.lit(0.0)))

@@ -5,12 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorlake.common import filled, keep, records, table
-from anchorlake.llm import mixing, percentiles, pieces, tokens
+from anchorlake.common import filled, keep, records, table, trim
+from anchorlake.llm import mixing, near_duplicates, percentiles, pieces, tokens
 
+#: Entries are alike from 7/10 on, by single words.
+ALIKE = (7, 10)
 QUANTILES = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    got = records(table(spark, sf_dir, "remember_entries"), "entry_id", ["kind", "text"])
+    got = got.select("entry_id", F.lower(trim("kind")).alias("kind"), "text")
+    return near_duplicates.near_duplicates(got, "entry_id", "text", "kind", ALIKE, near_duplicates.words_of)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of entries of one kind with at least 7/10 of their words in common."""
+    return near_duplicates.all_pairs(*_entries(spark, sf_dir)).select(F.col("a").alias("entry_a"), F.col("b").alias("entry_b"))
+
+
+def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each entry with the least entry of its class, the class's size and the number of classes linked to it."""
+    members, links = _entries(spark, sf_dir)
+    ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
+    sizes = members.groupBy("class").agg(F.min("key").alias("first_entry"), F.count("*").alias("entries"))
+    return members.join(sizes, "class").join(ends, "class", "left").select(F.col("key").alias("entry_id"), "first_entry", "entries", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run, ``kind`` and ``mode`` trimmed and lower case, null where blank."""
     got = records(table(spark, sf_dir, "eval_results"), "run_id", ["kind", "mode", "total_tokens", "started_at"])
@@ -72,7 +93,15 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+_WORDS = """
+WITH r AS (SELECT entry_id, arg_max(s, loaded_at) AS s FROM (SELECT entry_id, {'kind': kind, 'text': text} AS s, loaded_at FROM remember_entries) GROUP BY entry_id),
+e AS (SELECT entry_id, lower(trim(s.kind, E' \\t\\r\\n')) AS kind, list_distinct(regexp_extract_all(lower(s.text), '[a-z0-9]+|[\u4e00-\u9fff]')) AS w FROM r WHERE s.kind IS NOT NULL AND s.text IS NOT NULL),
+f AS (SELECT * FROM e WHERE len(w) > 0),
+pairs AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m
+  FROM f a JOIN f b ON a.kind = b.kind AND a.entry_id < b.entry_id AND least(len(a.w), len(b.w)) * 10 >= greatest(len(a.w), len(b.w)) * 7)
+"""
 SQL = {
+    "p5_found": _WORDS + "SELECT entry_a, entry_b FROM pairs WHERE n * 10 >= (m - n) * 7",
     "p7_percentiles": _SKETCH + "SELECT kind, mode, day, sum(n)::BIGINT AS n, " + ", ".join(f"{_picked(q)} AS {name}" for name, q in QUANTILES.items()) + " FROM w GROUP BY kind, mode, day",
 }
