@@ -6,13 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorlake.common import filled, keep, records, table, trim
-from anchorlake.llm import mixing, near_duplicates, percentiles, pieces, tokens
+from anchorlake.llm import mixing, near_duplicates, percentiles, pieces, tokens, vectors
 
 #: Entries are alike from 7/10 on, by single words.
 ALIKE = (7, 10)
 QUANTILES = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "p99": 0.99}
 
 
+#: Components of the project's vectors.
+SIZE = 64
+
+
+def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = vectors.usable(table(spark, sf_dir, "eval_records"), "record_id", "vector", SIZE)
+    return hits.unionByName(vectors.usable(table(spark, sf_dir, "eval_cases"), "case_id", "query_vector", SIZE))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs with a cosine of at least 0.9 of which one is among the five most similar to the other."""
+    near = vectors.most_similar(_collection(spark, sf_dir), 5, 0.9)
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def _entries(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     got = records(table(spark, sf_dir, "remember_entries"), "entry_id", ["kind", "text"])
     got = got.select("entry_id", F.lower(trim("kind")).alias("kind"), "text")
@@ -93,7 +108,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 _WORDS = """
 WITH r AS (SELECT entry_id, arg_max(s, loaded_at) AS s FROM (SELECT entry_id, {'kind': kind, 'text': text} AS s, loaded_at FROM remember_entries) GROUP BY entry_id),
 e AS (SELECT entry_id, lower(trim(s.kind, E' \\t\\r\\n')) AS kind, list_distinct(regexp_extract_all(lower(s.text), '[a-z0-9]+|[\u4e00-\u9fff]')) AS w FROM r WHERE s.kind IS NOT NULL AND s.text IS NOT NULL),
@@ -101,7 +116,15 @@ f AS (SELECT * FROM e WHERE len(w) > 0),
 pairs AS (SELECT a.entry_id AS entry_a, b.entry_id AS entry_b, len(list_intersect(a.w, b.w)) AS n, len(a.w) + len(b.w) AS m
   FROM f a JOIN f b ON a.kind = b.kind AND a.entry_id < b.entry_id AND least(len(a.w), len(b.w)) * 10 >= greatest(len(a.w), len(b.w)) * 7)
 """
+_NEAR = """
+WITH v AS (SELECT DISTINCT record_id AS id, vector::DOUBLE[] AS v FROM eval_records UNION SELECT case_id, query_vector::DOUBLE[] FROM eval_cases),
+u AS (SELECT id, v::DOUBLE[64] AS v FROM v WHERE len(v) = 64 AND NOT list_bool_or(list_transform(v, lambda x: x IS NULL OR isnan(x))) AND list_sum(list_transform(v, lambda x: abs(x))) > 0),
+p AS (SELECT a.id AS a, b.id AS b, array_cosine_similarity(a.v, b.v) AS c FROM u a JOIN u b ON a.id <> b.id AND array_cosine_similarity(a.v, b.v) >= 0.9),
+t AS (SELECT a, b FROM p QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 5)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t
+"""
 SQL = {
+    "p4_found": _NEAR,
     "p5_found": _WORDS + "SELECT entry_a, entry_b FROM pairs WHERE n * 10 >= (m - n) * 7",
     "p7_percentiles": _SKETCH + "SELECT kind, mode, day, sum(n)::BIGINT AS n, " + ", ".join(f"{_picked(q)} AS {name}" for name, q in QUANTILES.items()) + " FROM w GROUP BY kind, mode, day",
 }
