@@ -20,7 +20,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def trim(c: Column | str) -> Column:
     """Drops spaces, tabs and line ends on both sides."""
-    return F.trim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
 
 
 def filled(c: Column | str) -> Column:
