@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorlake.common import filled, keep, records, table, trim
-from anchorlake.llm import mixing, near_duplicates, percentiles, pieces, tokens, vectors
+from anchorlake.llm import mixing, near_duplicates, parsing, percentiles, pieces, tokens, vectors
 
 #: Entries are alike from 7/10 on, by single words.
 ALIKE = (7, 10)
@@ -17,6 +17,21 @@ QUANTILES = {"p01": 0.01, "p25": 0.25, "median": 0.5, "p75": 0.75, "p90": 0.9, "
 SIZE = 64
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that break the grammar of their language."""
+    return parsing.check_syntax(table(spark, sf_dir, "source_files")).where("cost > 0").select("file_id").distinct()
+
+
+def p2_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What it takes to repair them, and where."""
+    return parsing.check_syntax(table(spark, sf_dir, "source_files")).where("cost > 0").distinct()
+
+
+def p2_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates per repository and language."""
+    return parsing.rates(parsing.check_syntax(table(spark, sf_dir, "source_files")))
+
+
 def _collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = vectors.usable(table(spark, sf_dir, "eval_records"), "record_id", "vector", SIZE)
     return hits.unionByName(vectors.usable(table(spark, sf_dir, "eval_cases"), "case_id", "query_vector", SIZE))
@@ -108,7 +123,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 _WORDS = """
 WITH r AS (SELECT entry_id, arg_max(s, loaded_at) AS s FROM (SELECT entry_id, {'kind': kind, 'text': text} AS s, loaded_at FROM remember_entries) GROUP BY entry_id),
 e AS (SELECT entry_id, lower(trim(s.kind, E' \\t\\r\\n')) AS kind, list_distinct(regexp_extract_all(lower(s.text), '[a-z0-9]+|[\u4e00-\u9fff]')) AS w FROM r WHERE s.kind IS NOT NULL AND s.text IS NOT NULL),
