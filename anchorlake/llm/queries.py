@@ -68,6 +68,11 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.lower(filled("kind")).alias("kind"), F.lower(filled("mode")).alias("mode"), F.to_date("started_at").cast("string").alias("day"), "total_tokens")
 
 
+def p7_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sketch of each day, kind and mode: how many runs have a ``total_tokens`` in which bucket. Sketches of days add up."""
+    return percentiles.sketch(runs(spark, sf_dir), "total_tokens", ["kind", "mode", "day"])
+
+
 def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of ``total_tokens`` per kind and mode, for each day and, out of the days' sketches, for all days (day 'all')."""
     days = keep(percentiles.sketch(runs(spark, sf_dir), "total_tokens", ["kind", "mode", "day"]))
@@ -123,7 +128,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_daily_sketches": p7_daily_sketches, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
 _WORDS = """
 WITH r AS (SELECT entry_id, arg_max(s, loaded_at) AS s FROM (SELECT entry_id, {'kind': kind, 'text': text} AS s, loaded_at FROM remember_entries) GROUP BY entry_id),
 e AS (SELECT entry_id, lower(trim(s.kind, E' \\t\\r\\n')) AS kind, list_distinct(regexp_extract_all(lower(s.text), '[a-z0-9]+|[\u4e00-\u9fff]')) AS w FROM r WHERE s.kind IS NOT NULL AND s.text IS NOT NULL),
@@ -141,5 +146,6 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t
 SQL = {
     "p4_found": _NEAR,
     "p5_found": _WORDS + "SELECT entry_a, entry_b FROM pairs WHERE n * 10 >= (m - n) * 7",
+    "p7_daily_sketches": _SKETCH + "SELECT kind, mode, day, bucket::BIGINT AS bucket, n FROM k WHERE day <> 'all'",
     "p7_percentiles": _SKETCH + "SELECT kind, mode, day, sum(n)::BIGINT AS n, " + ", ".join(f"{_picked(q)} AS {name}" for name, q in QUANTILES.items()) + " FROM w GROUP BY kind, mode, day",
 }
