@@ -1,0 +1,107 @@
+"""Text functions as column expressions."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Credential shapes and the kind that replaces them, applied in this order (fixed values).
+SECRETS = [
+    ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*?-----END [A-Z ]*PRIVATE KEY-----"),
+    ("aws-key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b"),
+    ("github-token", r"\bgh[pousr]_[A-Za-z0-9]{36,}\b"),
+    ("slack-token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}"),
+    ("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    ("bearer", r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]{16,}"),
+    ("url-password", r"://[^/\s:@]+:[^/\s:@]+@"),
+    ("assignment", r"(?i)\b(?:password|passwd|secret|api[_-]?key|token)\b\s*[:=]\s*[^\s,;]{8,}"),
+]
+#: What marks an instruction aimed at a model, and what only suggests an action (fixed values).
+INJECTIONS = r"(?i)ignore (?:all |any )?(?:previous|prior|above) (?:instructions|rules)|disregard (?:all |the )?(?:previous|above)|you are now (?:a|an) "
+ACTIONS = r"(?i)\b(?:run|execute|delete|push|deploy|install) (?:the |this |all )?(?:command|script|branch|release|package|file)s?\b"
+MARKERS = r"(?i)\b(?:must|always|never|immediately|system:)"
+
+
+def ident_parts(word: Column) -> Column:
+    """Lower-case parts of an identifier at ``_ . ~`` and changes of case, each once."""
+    cut = F.regexp_replace(F.regexp_replace(word, "([A-Z])([A-Z][a-z])", "$1_$2"), "([a-z])([A-Z])", "$1_$2")
+    return F.array_distinct(F.filter(F.split(F.lower(cut), "[_.~]+"), lambda x: x != ""))
+
+
+def windows(s: Column, n: int) -> Column:
+    """All runs of n characters; a shorter text is one run."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1))), lambda i: F.substring(s, i, n))
+
+
+def tokens(text: Column) -> Column:
+    """Distinct search tokens: ASCII words with their parts, bigrams of Han runs (a lone character stays)."""
+    runs = F.regexp_extract_all(text, F.lit(r"([A-Za-z0-9]+|\p{IsHan}+)"))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda w: F.when(w.rlike("^[A-Za-z0-9]"), F.concat(F.array(F.lower(w)), ident_parts(w))).otherwise(windows(w, 2)))))
+
+
+def trigrams(token: Column) -> Column:
+    """Runs of three of an ASCII token of three bytes or more; nothing of others."""
+    return F.when((F.length(token) >= 3) & ~token.rlike(r"[^\x00-\x7f]"), windows(token, 3)).otherwise(F.array().cast("array<string>"))
+
+
+def grams(text: Column) -> Column:
+    """The set by which texts are compared: ``w:`` words of letters and digits other than Han, and Han bigrams."""
+    words = F.transform(F.regexp_extract_all(F.lower(F.regexp_replace(text, r"\p{IsHan}", " ")), F.lit(r"([\p{L}\p{Nd}]+)")), lambda w: F.concat(F.lit("w:"), w))
+    han = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(r"(\p{IsHan}+)")), lambda r: windows(r, 2)))
+    return F.array_distinct(F.concat(words, han))
+
+
+def token_estimate(text: Column) -> Column:
+    """Han characters + 1.3 per other word, rounded half up."""
+    words = F.regexp_count(F.regexp_replace(text, r"\p{IsHan}", " "), F.lit(r"[\p{L}\p{Nd}]+"))
+    return (F.regexp_count(text, F.lit(r"\p{IsHan}")) + F.floor(F.lit(1.3) * words + 0.5)).cast("long")
+
+
+def normalized(text: Column) -> Column:
+    """Lower case without any white space."""
+    return F.lower(F.regexp_replace(text, r"\s+", ""))
+
+
+def short(text: Column, n: int) -> Column:
+    """At most n characters, with an ellipsis where cut."""
+    return F.when(F.length(text) > n, F.concat(F.substring(text, 1, n), F.lit("…"))).otherwise(text)
+
+
+def first_line(text: Column, n: int = 40) -> Column:
+    return short(F.substring_index(text, "\n", 1), n)
+
+
+def debt_id(kind: Column, node: Column) -> Column:
+    return F.concat(F.lit("d_"), F.substring(F.sha2(F.concat(kind, F.lit("|"), node), 256), 1, 8))
+
+
+def symbol_base(symbol: Column) -> Column:
+    return F.regexp_replace(symbol, r"~\d+$", "")
+
+
+def node_query(text: Column) -> Column:
+    """A node id as users write it: trimmed, forward slashes, no leading ``./``, no trailing ``()``."""
+    return F.regexp_replace(F.regexp_replace(F.replace(F.trim(text), F.lit("\\"), F.lit("/")), r"^(?:\./)+", ""), r"\(\)$", "")
+
+
+def ancestors(path: Column) -> Column:
+    """All directories above a path, each ending in a slash, and the project '.' itself."""
+    parts = F.split(path, "/")
+    return F.concat(F.array(F.lit(".")), F.transform(F.filter(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: i > 0), lambda i: F.concat(F.array_join(F.slice(parts, F.lit(1), i), "/"), F.lit("/"))))
+
+
+def redacted(text: Column) -> Column:
+    """Credentials replaced by their kind, one shape after the other on what the ones before left."""
+    for kind, pattern in SECRETS:
+        text = F.regexp_replace(text, pattern, f"[REDACTED:{kind}]")
+    return text
+
+
+def lint(text: Column) -> Column:
+    """reject for instructions aimed at a model and for marked actions, warn for other actions, else ok."""
+    return F.when(text.rlike(INJECTIONS) | (text.rlike(ACTIONS) & text.rlike(MARKERS)), "reject").when(text.rlike(ACTIONS), "warn").otherwise("ok")
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """Integer percent, truncated; 0 of nothing is 0."""
+    return F.when(whole == 0, F.lit(0)).otherwise(F.floor(part * 100 / whole)).cast("long")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from anchorlake.plans import overturns, references, shards
+from anchorlake.plans import overturns, references, shards, texts
 
-_MODULES = [references, overturns, shards]
+_MODULES = [references, overturns, shards, texts]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}

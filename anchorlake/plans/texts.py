@@ -1,0 +1,79 @@
+"""Text functions over whole tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from anchorlake.common import table
+from anchorlake.functions import text as T
+from anchorlake.plans import model as m
+
+
+def tokenize_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many entries each token occurs."""
+    return m.entries(spark, sf_dir).select("entry_id", F.explode(T.tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("entries"))
+
+
+def split_ident(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each node's symbol."""
+    return m.nodes(spark, sf_dir).where("symbol IS NOT NULL").select("node_id", F.posexplode(T.ident_parts(F.col("symbol"))).alias("position", "part"))
+
+
+def trigram_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """In how many nodes each trigram of a path token occurs."""
+    toks = m.nodes(spark, sf_dir).select("node_id", F.explode(T.tokens(F.col("file"))).alias("token"))
+    return toks.select("node_id", F.explode(T.trigrams(F.col("token"))).alias("trigram")).distinct().groupBy("trigram").agg(F.count("*").alias("nodes"))
+
+
+def similarity_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of each entry's gram set."""
+    return m.entries(spark, sf_dir).select("entry_id", F.size(T.grams(F.col("text"))).cast("long").alias("grams"))
+
+
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens of each document."""
+    return table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries whose text, without blanks and case, is that of other entries of the node."""
+    e = m.entries(spark, sf_dir).where("active AND text <> ''").select("node_id", "entry_id", F.sha2(T.normalized(F.col("text")), 256).alias("key"))
+    return e.groupBy("node_id", "key").agg(F.count("*").alias("entries"), F.min("entry_id").alias("first_entry")).where("entries > 1")
+
+
+def redact_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with credentials, and how long they are without."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text", T.redacted(F.col("text")).alias("clean"))
+    return d.where("text <> clean").select("doc_id", F.regexp_count("clean", F.lit(r"\[REDACTED:")).cast("long").alias("redactions"), F.length("clean").cast("long").alias("chars"))
+
+
+def lint_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries by what their text asks a model to do."""
+    return m.entries(spark, sf_dir).groupBy(T.lint(F.col("text")).alias("flag")).agg(F.count("*").alias("entries"))
+
+
+def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First line of each active entry and the id of a debt on its node."""
+    e = m.entries(spark, sf_dir).where("active")
+    return e.select("entry_id", T.first_line(F.col("text")).alias("label"), T.debt_id(F.lit("review"), F.coalesce("node_id", F.lit(""))).alias("debt"))
+
+
+_S = "\\s\\x{0b}"
+SQL = {
+    "tokenize_terms": m.BASE + f"SELECT token, count(*) AS entries FROM (SELECT unnest({m.sql_tokens('text')}) AS token FROM e) GROUP BY token",
+    "split_ident": m.BASE + f"SELECT node_id, i::INT AS position, p[i + 1] AS part FROM (SELECT node_id, p, unnest(range(len(p))) AS i FROM (SELECT node_id, {m.sql_parts('symbol')} AS p FROM n WHERE symbol IS NOT NULL))",
+    "trigram_terms": m.BASE + f"SELECT trigram, count(*) AS nodes FROM (SELECT DISTINCT node_id, unnest({m.sql_windows('token', 3)}) AS trigram FROM (SELECT node_id, unnest({m.sql_tokens('file')}) AS token FROM n) WHERE length(token) >= 3 AND NOT regexp_matches(token, '[^\\x00-\\x7f]')) GROUP BY trigram",
+    "similarity_grams": m.BASE + f"SELECT entry_id, len({m.sql_grams('text')}) AS grams FROM e",
+    "token_estimates": f"SELECT doc_id, {m.sql_estimate('text')} AS tokens FROM documents WHERE text IS NOT NULL",
+    "normalize_text": m.BASE + f"SELECT node_id, sha256(lower(regexp_replace(text, '[{_S}]+', '', 'g'))) AS key, count(*) AS entries, min(entry_id) AS first_entry FROM e WHERE active AND text <> '' GROUP BY ALL HAVING count(*) > 1",
+    "lint_flags": m.BASE
+    + f"SELECT CASE WHEN regexp_matches(text, '{T.INJECTIONS}') OR (regexp_matches(text, '{T.ACTIONS}') AND regexp_matches(text, '{T.MARKERS}')) THEN 'reject' WHEN regexp_matches(text, '{T.ACTIONS}') THEN 'warn' ELSE 'ok' END AS flag, count(*) AS entries FROM e GROUP BY 1",
+    "text_labels": m.BASE
+    + "SELECT entry_id, CASE WHEN length(l) > 40 THEN substring(l, 1, 40) || '…' ELSE l END AS label, 'd_' || substring(sha256('review|' || coalesce(node_id, '')), 1, 8) AS debt FROM (SELECT *, split_part(text, chr(10), 1) AS l FROM e WHERE active)",
+}
+_CLEAN = "text"
+for _kind, _pattern in T.SECRETS:
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', '[REDACTED:{_kind}]', 'g')"
+SQL["redact_secrets"] = f"SELECT doc_id, len(regexp_extract_all(clean, '\\[REDACTED:')) AS redactions, length(clean) AS chars FROM (SELECT doc_id, text, {_CLEAN} AS clean FROM documents WHERE text IS NOT NULL) WHERE text <> clean"
+QUERIES = {f.__name__: f for f in (tokenize_terms, split_ident, trigram_terms, similarity_grams, token_estimates, normalize_text, redact_secrets, lint_flags, text_labels)}
