@@ -55,14 +55,14 @@ def _path(spark: SparkSession, at: str):
     return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, by: str | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again: cuts the lineage, survives lost executors.
 
-    The files go when the session ends, or earlier through :func:`release`.
+    The files go when the session ends, or earlier through :func:`release`. ``by``: a column that gets a folder per value.
     """
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/anchorlake/{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    (df.write.partitionBy(by) if by else df.write).parquet(at)
     path, fs = _path(spark, at)
     fs.deleteOnExit(path)
     out = spark.read.schema(df.schema).parquet(at)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from anchorlake.common import keep, release
+
 
 def heirs(nodes: DataFrame) -> DataFrame:
     """``former`` and ``heir``: a row for each id in a node's lineage."""
@@ -58,15 +60,21 @@ def resolve_entries(refs: DataFrame, nodes: DataFrame, entries: DataFrame, ref:
 def chain_ends(entries: DataFrame, hops: int = 32) -> DataFrame:
     """``node_id, entry_id, last_id``: the entry at the end of its node's chain of successors, and ``steps`` to it.
 
-    Pointer doubling: k joins follow 2**k steps, so ``hops`` of 32 take five. Only entries that have a successor take part.
+    Pointer doubling: k joins follow 2**k steps, so ``hops`` of 32 take five at most; it ends once no chain grows. Only entries
+    that have a successor take part.
     """
     e = entries.select("node_id", "entry_id", "superseded_by")
     here = e.select(F.col("node_id").alias("_n"), F.col("entry_id").alias("_e"))
     link = e.where("superseded_by IS NOT NULL AND superseded_by <> entry_id").join(here, (F.col("node_id") == F.col("_n")) & (F.col("superseded_by") == F.col("_e"))).select("node_id", "entry_id", F.col("superseded_by").alias("last_id"), F.lit(1).alias("steps"))
-    k = 1
+    link, k = keep(link), 1
     while k < hops:
         b = link.select(F.col("node_id").alias("_n"), F.col("entry_id").alias("_e"), F.col("last_id").alias("_l"), F.col("steps").alias("_s"))
-        link = link.join(b, (F.col("node_id") == F.col("_n")) & (F.col("last_id") == F.col("_e")), "left").select("node_id", "entry_id", F.coalesce("_l", "last_id").alias("last_id"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"))
-        k *= 2
+        longer = link.join(b, (F.col("node_id") == F.col("_n")) & (F.col("last_id") == F.col("_e")), "left")
+        longer = keep(longer.select("node_id", "entry_id", F.coalesce("_l", "last_id").alias("last_id"), (F.col("steps") + F.coalesce("_s", F.lit(0))).alias("steps"), F.col("_s").isNotNull().alias("_on")))
+        grew = not longer.where("_on").isEmpty()
+        release(link)
+        link, k = longer, k * 2
+        if not grew:
+            break
     ends = link.select(F.col("node_id").alias("_n"), F.col("entry_id").alias("_e"), "last_id", "steps")
     return e.join(ends, (F.col("node_id") == F.col("_n")) & (F.col("entry_id") == F.col("_e")), "left").select("node_id", "entry_id", F.coalesce("last_id", "entry_id").alias("last_id"), F.coalesce("steps", F.lit(0)).cast("long").alias("steps"))

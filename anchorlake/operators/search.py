@@ -45,6 +45,7 @@ def search(post: DataFrame, nodes: DataFrame, query: str, limit: int = 10) -> Da
     Two points for each distinct query token that a node has. If all tokens together have fewer than three postings, each
     occurrence of a trigram of the query in a node's tokens gives one more point. Order: score, level, node id. The query's
     tokens are a handful of literals, so they filter the postings' scan and nothing is shuffled before the count per node.
+    ``post`` is read three times; make it a stored index.
     """
     spark = post.sparkSession
     toks = spark.range(1).select(F.explode(T.tokens(F.lit(query))).alias("token"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import partial
+import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -93,5 +93,6 @@ def sql_estimate(t: str) -> str:
     return f"(len(regexp_extract_all({t}, '{HAN}')) + floor(1.3::DOUBLE * len(regexp_extract_all(regexp_replace({t}, '{HAN}', ' ', 'g'), '[\\p{{L}}\\p{{Nd}}]+')) + 0.5))::BIGINT"
 
 
-def bound(f, *args):
-    return partial(f, *args)
+def quoted(sql: str) -> str:
+    """``at`` is a column here and a word of the language there."""
+    return re.sub(r'(?<!")\bat\b(?!")', '"at"', sql)

@@ -62,7 +62,8 @@ def text_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 _S = "\\s\\x{0b}"
 SQL = {
     "tokenize_terms": m.BASE + f"SELECT token, count(*) AS entries FROM (SELECT unnest({m.sql_tokens('text')}) AS token FROM e) GROUP BY token",
-    "split_ident": m.BASE + f"SELECT node_id, i::INT AS position, p[i + 1] AS part FROM (SELECT node_id, p, unnest(range(len(p))) AS i FROM (SELECT node_id, {m.sql_parts('symbol')} AS p FROM n WHERE symbol IS NOT NULL))",
+    "split_ident": m.BASE
+    + f"SELECT node_id, (row_number() OVER (PARTITION BY node_id ORDER BY min(i)) - 1)::INT AS position, part FROM (SELECT node_id, i, p[i + 1] AS part FROM (SELECT node_id, p, unnest(range(len(p))) AS i FROM (SELECT node_id, {m.sql_parts('symbol')[len('list_distinct('):-1]} AS p FROM n WHERE symbol IS NOT NULL))) GROUP BY node_id, part",
     "trigram_terms": m.BASE + f"SELECT trigram, count(*) AS nodes FROM (SELECT DISTINCT node_id, unnest({m.sql_windows('token', 3)}) AS trigram FROM (SELECT node_id, unnest({m.sql_tokens('file')}) AS token FROM n) WHERE length(token) >= 3 AND NOT regexp_matches(token, '[^\\x00-\\x7f]')) GROUP BY trigram",
     "similarity_grams": m.BASE + f"SELECT entry_id, len({m.sql_grams('text')}) AS grams FROM e",
     "token_estimates": f"SELECT doc_id, {m.sql_estimate('text')} AS tokens FROM documents WHERE text IS NOT NULL",
