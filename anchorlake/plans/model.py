@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorlake.common import filled, records, table
+from anchorlake.common import filled, records, table  # noqa: F401
 
 #: Queries about age look from here.
 NOW = "2026-07-01 00:00:00"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from anchorlake.plans import overturns, references, retrieval, shards, similar, texts
+from anchorlake.plans import overturns, references, reports, retrieval, shards, similar, texts
 
-_MODULES = [references, overturns, shards, texts, retrieval, similar]
+_MODULES = [references, overturns, shards, texts, retrieval, similar, reports]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 SQL = {name: s for m in _MODULES for name, s in m.SQL.items()}
