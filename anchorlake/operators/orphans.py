@@ -63,7 +63,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
 
     ``refs`` has ``space`` (which parents it points at), ``key``, ``at`` and any further columns, all of which come back;
     ``parents`` has ``space``, ``key``, ``at``. A parent with a null ``at`` was always there, a reference with a null ``at``
-    accepts any parent. References with a null key point nowhere and aren't rows of the result. Either side may be empty or
+    accepts any parent. References with a null key or space point nowhere and aren't rows of the result. Either side may be empty or
     repeat rows; repeated rows of ``refs`` come back as often.
 
     Keys are reduced to one row per period (references) or key (parents) before anything moves, so a key to which a third of all
@@ -71,8 +71,8 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     execution splits where it is skewed.
     """
     ship(refs.sparkSession)
-    refs = refs.where(F.col("key").isNotNull()).withColumn("_at", F.coalesce("at", F.to_timestamp(F.lit(FAR_FUTURE)))).withColumn("_period", _period(F.col("_at")))
-    there = parents.where(F.col("key").isNotNull()).groupBy("space", "key").agg(F.min(F.coalesce("at", F.to_timestamp(F.lit(FAR_PAST)))).alias("at"))
+    refs = refs.where(F.col("key").isNotNull() & F.col("space").isNotNull()).withColumn("_at", F.coalesce("at", F.to_timestamp(F.lit(FAR_FUTURE)))).withColumn("_period", _period(F.col("_at")))
+    there = parents.where(F.col("key").isNotNull() & F.col("space").isNotNull()).groupBy("space", "key").agg(F.min(F.coalesce("at", F.to_timestamp(F.lit(FAR_PAST)))).alias("at"))
     asked = refs.groupBy("space", "key", F.col("_period").alias("period")).agg(F.lit(None).cast("timestamp").alias("at"))
     shape = ["space", "key", "period", F.col("at").cast("timestamp").alias("at")]
     both = there.withColumn("period", _period(F.col("at"))).select(*shape, F.lit(True).alias("is_parent")).unionByName(asked.select(*shape, F.lit(False).alias("is_parent")))
