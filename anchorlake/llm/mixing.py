@@ -84,5 +84,5 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     out = out.select(key, "source", "tokens", F.least(F.col("certain") + F.coalesce("more", F.lit(0)), F.col("max_repeats")).cast("long").alias("copies")).where("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"))
     report = plan.join(got, "source", "left").fillna(0, ["tokens", "documents"])
-    report = report.withColumn("share", F.coalesce(F.col("tokens") / F.sum("tokens").over(W.partitionBy(F.lit(0))), F.lit(0.0)))
+    report = report.withColumn("share", F.coalesce(F.try_divide(F.col("tokens"), F.sum("tokens").over(W.partitionBy(F.lit(0)))), F.lit(0.0)))
     return out, report
