@@ -60,7 +60,8 @@ def inactive(changes: DataFrame, strict: bool = False) -> DataFrame:
     whose reverters are decided. Links to themselves, to missing or to later changes raise with ``strict`` and are passed over
     otherwise; changes on a cycle of reverts then stay undecided and count as applied.
     """
-    bad = check_links(changes)
+    changes = keep(changes.select("id", "at", "overturns", "reverts"))
+    bad = keep(check_links(changes))
     if strict and (first := bad.take(1)):
         raise MalformedJournal(f"{first[0]['id']}: {first[0]['problem']} target {first[0]['target']}")
     ok = lambda c: changes.where(F.col(c).isNotNull()).select(F.col("id").alias("by"), F.col(c).alias("target")).join(bad.select(F.col("id").alias("by"), "target"), ["by", "target"], "left_anti")
