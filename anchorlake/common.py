@@ -77,6 +77,12 @@ def release(df: DataFrame) -> None:
         fs.delete(path, True)
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` on at least as many partitions as there are cores, for work that is heavy per row; a scan that has them stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def ship(spark: SparkSession) -> None:
     """Gives this package to the executors, once per session."""
     sc = spark.sparkContext
