@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from anchorlake.common import ship
 from anchorlake.functions.bitmap import Bitmap
 
-#: A key range holds about so many rows of keys.
+#: A key range is as many neighbouring keys as have about so many rows.
 RANGE_ROWS = 200_000
 _FIELDS = "space string, key string, period int, parent_at timestamp"
 FAR_PAST, FAR_FUTURE = "0001-01-01 00:00:00", "9999-12-31 23:59:59"
@@ -23,7 +23,7 @@ def _period(c):
     return (F.year(c) * 12 + F.month(c)).cast("int")
 
 
-def _survivors(t: pa.Table) -> Iterator[pa.RecordBatch]:
+def _survivors(t: pa.Table) -> pa.Table:
     """One key range: reference bits of each period without the parents that were there before it.
 
     The range's keys become the integers 0, 1, ...; a reference's bit survives if no parent came in an earlier period.
@@ -58,7 +58,31 @@ def _survivors(t: pa.Table) -> Iterator[pa.RecordBatch]:
     return pa.table({"space": t["space"].take(rows), "key": t["key"].take(rows), "period": pa.array(when, pa.int32()), "parent_at": t["at"].take(later)})
 
 
-def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None = None) -> DataFrame:
+def _ranges(most: int):
+    """Cuts a sorted partition into key ranges, each of whole keys, and holds one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n < most:
+                continue
+            t = pa.Table.from_batches(held).combine_chunks()
+            last = t.slice(n - 1)
+            same = pc.and_(pc.equal(t["key"], last["key"][0]), pc.equal(t["space"], last["space"][0]))
+            cut = n - pc.sum(same).as_py()
+            if cut:
+                yield from _survivors(t.slice(0, cut)).to_batches()
+                t = t.slice(cut)
+            held, n = t.to_batches(), t.num_rows
+        if n:
+            yield from _survivors(pa.Table.from_batches(held).combine_chunks()).to_batches()
+
+    return run
+
+
+def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Rows of ``refs`` without a parent that arrived no later.
 
     ``refs`` has ``space`` (which parents it points at), ``key``, ``at`` and any further columns, all of which come back;
@@ -67,7 +91,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     repeat rows; repeated rows of ``refs`` come back as often.
 
     Keys are reduced to one row per period (references) or key (parents) before anything moves, so a key to which a third of all
-    references point costs as much as any other; the surviving keys then meet the references in an ordinary join that adaptive
+    references point costs as much as any other. A task holds one key range at a time. The surviving keys then meet the references in an ordinary join that adaptive
     execution splits where it is skewed.
     """
     ship(refs.sparkSession)
@@ -76,9 +100,7 @@ def orphan_references(refs: DataFrame, parents: DataFrame, ranges: int | None =
     asked = refs.groupBy("space", "key", F.col("_period").alias("period")).agg(F.lit(None).cast("timestamp").alias("at"))
     shape = ["space", "key", "period", F.col("at").cast("timestamp").alias("at")]
     both = there.withColumn("period", _period(F.col("at"))).select(*shape, F.lit(True).alias("is_parent")).unionByName(asked.select(*shape, F.lit(False).alias("is_parent")))
-    n = ranges or int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 2
-    both = both.withColumn("range", F.pmod(F.xxhash64("space", "key"), F.lit(n)))
-    alone = both.groupBy("range").applyInArrow(_survivors, _FIELDS)
+    alone = both.repartition("space", "key").sortWithinPartitions("space", "key").mapInArrow(_ranges(range_rows), _FIELDS)
     alone = alone.select(F.col("space").alias("_s"), F.col("key").alias("_k"), F.col("period").alias("_p"), "parent_at")
     hit = refs.join(alone, (F.col("space") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("_period") == F.col("_p")))
     return hit.where(F.col("parent_at").isNull() | (F.col("parent_at") > F.col("_at"))).drop("_s", "_k", "_p", "parent_at", "_at", "_period")

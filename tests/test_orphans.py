@@ -62,4 +62,4 @@ def test_brute_force_with_a_hot_key(spark):
     for _, k, t in parents:
         first[k] = min(first.get(k, t), t)
     want = sorted(s for _, k, t, s, _ in refs if k not in first or first[k] > t)
-    assert found(spark, refs, parents, ranges=3) == want
+    assert found(spark, refs, parents, range_rows=7) == want == found(spark, refs, parents)
