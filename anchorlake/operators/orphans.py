@@ -95,12 +95,16 @@ def orphan_references(refs: DataFrame, parents: DataFrame, range_rows: int = RAN
     execution splits where it is skewed.
     """
     ship(refs.sparkSession)
-    refs = refs.where(F.col("key").isNotNull() & F.col("space").isNotNull()).withColumn("_at", F.coalesce("at", F.to_timestamp(F.lit(FAR_FUTURE)))).withColumn("_period", _period(F.col("_at")))
+    mark = "_"
+    while any(c.lower().startswith(mark + "o_") for c in refs.columns):  # further columns keep their names, whatever these are
+        mark += "_"
+    o_at, o_period, o_space, o_key, o_when, o_parent = (f"{mark}o_{x}" for x in ("at", "period", "space", "key", "when", "parent"))
+    refs = refs.where(F.col("key").isNotNull() & F.col("space").isNotNull()).withColumn(o_at, F.coalesce("at", F.to_timestamp(F.lit(FAR_FUTURE)))).withColumn(o_period, _period(F.col(o_at)))
     there = parents.where(F.col("key").isNotNull() & F.col("space").isNotNull()).groupBy("space", "key").agg(F.min(F.coalesce("at", F.to_timestamp(F.lit(FAR_PAST)))).alias("at"))
-    asked = refs.groupBy("space", "key", F.col("_period").alias("period")).agg(F.lit(None).cast("timestamp").alias("at"))
+    asked = refs.groupBy("space", "key", F.col(o_period).alias("period")).agg(F.lit(None).cast("timestamp").alias("at"))
     shape = ["space", "key", "period", F.col("at").cast("timestamp").alias("at")]
     both = there.withColumn("period", _period(F.col("at"))).select(*shape, F.lit(True).alias("is_parent")).unionByName(asked.select(*shape, F.lit(False).alias("is_parent")))
     alone = both.repartition("space", "key").sortWithinPartitions("space", "key").mapInArrow(_ranges(range_rows), _FIELDS)
-    alone = alone.select(F.col("space").alias("_s"), F.col("key").alias("_k"), F.col("period").alias("_p"), "parent_at")
-    hit = refs.join(alone, (F.col("space") == F.col("_s")) & (F.col("key") == F.col("_k")) & (F.col("_period") == F.col("_p")))
-    return hit.where(F.col("parent_at").isNull() | (F.col("parent_at") > F.col("_at"))).drop("_s", "_k", "_p", "parent_at", "_at", "_period")
+    alone = alone.select(F.col("space").alias(o_space), F.col("key").alias(o_key), F.col("period").alias(o_when), F.col("parent_at").alias(o_parent))
+    hit = refs.join(alone, (F.col("space") == F.col(o_space)) & (F.col("key") == F.col(o_key)) & (F.col(o_period) == F.col(o_when)))
+    return hit.where(F.col(o_parent).isNull() | (F.col(o_parent) > F.col(o_at))).drop(o_space, o_key, o_when, o_parent, o_at, o_period)

@@ -8,7 +8,7 @@ import numpy as np
 from anchorlake.functions.bitmap import LIST_MOST, Bitmap
 from anchorlake.operators.orphans import orphan_references
 
-REF = "space string, key string, at timestamp, src string, extra int"
+REF = "space string, key string, at timestamp, src string, parent_at int"
 PAR = "space string, key string, at timestamp"
 T0 = datetime(2024, 1, 1)
 
@@ -48,6 +48,12 @@ def test_times_nulls_spaces_and_repeats(spark):
     assert found(spark, refs, parents) == ["before", "empty", "gone", "gone", "long", "other space"]
 
 
+def test_further_columns_come_back(spark):
+    refs = spark.createDataFrame([("x", "k", T0, 1, 2, 3, "a")], "space string, key string, at timestamp, _o_at int, period int, parent_at int, is_parent string")
+    got = orphan_references(refs, spark.createDataFrame([], PAR))
+    assert got.columns == refs.columns and [tuple(r) for r in got.collect()] == [("x", "k", T0, 1, 2, 3, "a")]
+
+
 def test_empty_sides(spark):
     assert found(spark, [], [("x", "k", T0)]) == []
     assert found(spark, [("x", "k", T0, "a", 1)], []) == ["a"]
