@@ -149,5 +149,18 @@ SELECT section, text, (sum({m.sql_estimate('text')}) OVER (ORDER BY no, rank, te
     "doctor": m.BASE + r.PROBLEMS + "SELECT 'nodes' AS \"check\", count(*) AS n FROM n UNION ALL SELECT 'entries without node', count(*) FROM e WHERE active AND (node_id IS NULL OR node_id NOT IN (SELECT node_id FROM n)) UNION ALL SELECT 'bad links', count(*) FROM problems WHERE problem IS NOT NULL UNION ALL SELECT 'flows without steps', count(*) FROM f WHERE steps IS NULL OR len(steps) = 0",
     "investigate": m.BASE + r.POSTINGS + r.found("x", "sticky cache eviction of the session index", None, 20) + f"SELECT 'flow' AS kind, id FROM f WHERE NOT deprecated AND len(list_intersect({m.sql_grams(chr(39) + 'sticky cache eviction of the session index' + chr(39))}, {m.sql_grams('coalesce(title, ' + chr(39) * 2 + ')')})) >= 2 UNION ALL SELECT 'node', node_id FROM x JOIN n USING (node_id) WHERE score >= 2 AND status = 'fresh'",
 }
+SQL["task_evidence"] = (
+    m.BASE
+    + r.POSTINGS
+    + r.STEPS
+    + r.found("x", r.RISK_QUERY, None, 30)
+    + """, sn AS (SELECT flow, node_id FROM st JOIN n ON ref = node_id UNION SELECT flow, heir FROM st JOIN h ON ref = former WHERE ref NOT IN (SELECT node_id FROM n)),
+fe AS (SELECT DISTINCT p.node_id AS a, q.node_id AS b FROM sn p JOIN sn q USING (flow) WHERE p.node_id <> q.node_id),
+nb AS (SELECT b AS node_id, count(*) + CASE WHEN b IN (SELECT node_id FROM laned) THEN 2 ELSE 0 END AS score FROM fe JOIN x ON a = x.node_id WHERE b NOT IN (SELECT node_id FROM x) GROUP BY b ORDER BY score DESC, node_id LIMIT 20),
+hi AS (SELECT node_id, min(place) AS place FROM (SELECT node_id, place FROM x UNION ALL SELECT node_id, 1000 FROM nb) GROUP BY node_id),
+id AS (SELECT coalesce(hi.node_id, z.node_id) AS node_id, place, CASE WHEN z.node_id IS NOT NULL THEN 'exact' WHEN place = 1000 THEN 'near' ELSE 'other' END AS nearness FROM hi FULL JOIN (SELECT node_id FROM n WHERE starts_with(node_id, 'pkg/')) z ON hi.node_id = z.node_id)
+SELECT node_id, entry_id, nearness, lane FROM laned JOIN id USING (node_id)
+QUALIFY row_number() OVER (PARTITION BY nearness ORDER BY CASE WHEN lane = 'risk' THEN 0 ELSE 1 END, coalesce(place, 2000), entry_id) <= CASE WHEN nearness = 'exact' THEN 20 ELSE 6 END"""
+)
 SQL = {name: m.quoted(s) for name, s in SQL.items()}
 QUERIES = {f.__name__: f for f in (kb_map, node_recall, kb_brief, file_landmines, scope_risks, task_evidence, investigate, era_history, retrieval_quality, symbol_suggestions, signature_echo, doctor)}
