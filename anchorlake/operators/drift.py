@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import json
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -291,32 +292,60 @@ def profiles(leaves: DataFrame) -> DataFrame:
     return per.groupBy("doc_kind", "field").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("types"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, SKETCH).alias("sketch"))
 
 
-def canonical_names(fields: list, renames: list) -> dict[tuple[str, str], str]:
+def is_rename(sighted: int, gone: int, come: int, files: int, alike: float, shared: float) -> bool:
+    """Whether sightings of one field in another's place are more than chance.
+
+    ``sighted``: how often the old name went as the new one came; ``gone`` and ``come``: how often the old went and the new came
+    at all; ``files``: in how many it could have happened. Names that are ``alike`` or values that are ``shared`` settle it, and
+    so does a pair that only ever went and came together. Otherwise there must be clearly more sightings than fields that come
+    and go independently of each other have.
+    """
+    if alike >= 0.6 or shared >= 0.5 or sighted == gone == come:
+        return True
+    chance = gone * come / max(1, files)
+    return sighted > 1 and sighted > chance + 3 * chance**0.5
+
+
+def canonical_names(fields: list, moves: list, together: set[tuple[str, str, str]]) -> dict[tuple[str, str], str]:
     """(kind, field) to the name it has in the unified table.
 
-    ``fields``: rows of :func:`profiles`; ``renames``: rows (doc_kind, was, field, n) seen between files. Old and new names are
-    matched so that the total of sightings' share, name similarity and sketch overlap is greatest; chains of renames end at the
-    name with most rows.
+    ``fields``: rows of :func:`profiles`; ``moves``: rows (doc_kind, drift, was, field, n) seen between files; ``together``:
+    (kind, field, field) that some file has both. Old and new names are matched so that the total of sightings' share, name
+    similarity and sketch overlap is greatest, over pairs that :func:`is_rename` accepts. Names that any file has together are
+    never joined, nor are groups that hold such names; chains of renames end at the name with most rows.
     """
     seen = {(r["doc_kind"], r["field"]): r for r in fields}
     names = {k: k[1] for k in seen}
     for kind in sorted({k for k, _ in seen}, key=str):
-        pairs = {(r["was"], r["field"]): r["n"] for r in renames if r["doc_kind"] == kind and (kind, r["was"]) in seen and (kind, r["field"]) in seen}
+        mine = [r for r in moves if r["doc_kind"] == kind]
+        pairs = {(r["was"], r["field"]): r["n"] for r in mine if r["drift"] == "renamed" and (kind, r["was"]) in seen and (kind, r["field"]) in seen}
+        gone, come = Counter(), Counter()
+        for r in mine:
+            if r["drift"] in ("removed", "renamed"):
+                gone[r["was"] or r["field"]] += r["n"]
+            if r["drift"] in ("added", "renamed"):
+                come[r["field"]] += r["n"]
+        files = max(seen[kind, f]["n"] for k, f in seen if k == kind)
+        apart = {(a, b) for k, a, b in together if k == kind} | {(b, a) for k, a, b in together if k == kind}
         old, new = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
 
         def worth(a: str, b: str) -> float:
-            if (a, b) not in pairs or a == b:
+            if (a, b) not in pairs or a == b or (a, b) in apart:
                 return -1.0
             s, t = set(seen[kind, a]["sketch"]), set(seen[kind, b]["sketch"])
-            share = pairs[a, b] / max(1, sum(n for (x, _), n in pairs.items() if x == a))
-            return share + difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio() + (len(s & t) / len(s | t) if s | t else 0)
+            shared = len(s & t) / len(s | t) if s | t else 0.0
+            alike = difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
+            # Few values, as of booleans, are shared by fields that have nothing to do with each other.
+            if not is_rename(pairs[a, b], gone[a], come[b], files, alike, shared if min(len(s), len(t)) >= 8 else 0.0):
+                return -1.0
+            return pairs[a, b] / gone[a] + alike + shared
 
         table = [[worth(a, b) for b in new] for a in old]
         groups = {f: {f} for k, f in seen if k == kind}
-        for i, j in assign(table):
-            if table[i][j] >= 0.75:
-                joined = groups[old[i]] | groups[new[j]]
-                for f in joined:
+        for i, j in sorted(assign(table), key=lambda at: (-table[at[0]][at[1]], at)):
+            left, right = groups[old[i]], groups[new[j]]
+            if table[i][j] >= 0 and not any((a, b) in apart for a in left for b in right):
+                for f in (joined := left | right):
                     groups[f] = joined
         for f, group in groups.items():
             names[kind, f] = max(group, key=lambda x: (seen[kind, x]["n"], x))
@@ -333,20 +362,29 @@ def column_type(types: dict[str, int]) -> str:
     return "boolean" if kinds == {"boolean"} else "string"
 
 
+def _together(leaves: DataFrame, names: set[str]) -> set[tuple[str, str, str]]:
+    """(kind, field, field) of ``names``, the smaller first, that some file has both, null or not."""
+    if not names:
+        return set()
+    met = leaves.where(F.col("field").isin(sorted(names))).groupBy("doc_kind", "file_id").agg(F.collect_set("field").alias("all"))
+    pairs = met.select("doc_kind", F.explode("all").alias("a"), "all").select("doc_kind", "a", F.explode("all").alias("b")).where("a < b").distinct()
+    return {tuple(r) for r in pairs.collect()}
+
+
 def unified(files: DataFrame, kind: str) -> DataFrame:
     """All files of one kind of document as one table: ``file_id`` and a column per top-level field after renames.
 
     A column's type holds all values that any file has there (integers that mix with fractions become double, other mixtures
-    text; objects and arrays are JSON text). Files that are no JSON objects give no row; repeated rows count once. If a file has
-    two names of one field, the name with most rows in all files wins. A field called ``file_id`` in the files gets a trailing
+    text; objects and arrays are JSON text). Files that are no JSON objects give no row; repeated rows count once. Names that any
+    file has together are two columns, so no value is left out for another. A field called ``file_id`` in the files gets a trailing
     underscore, and so do fields that clash but for letter case. Only schemas come to the driver.
     """
     ship(files.sparkSession)
     mine = files.where(F.col("doc_kind") == kind)
     leaves = mine.select("doc_kind", F.col("file_id").cast("long").alias("file_id"), "raw").mapInArrow(_leaves, "doc_kind string, file_id long, field string, type string, value string")
-    moved = drifts(mine).where("drift = 'renamed' AND NOT contains(field, '.')").groupBy(F.lit(kind).alias("doc_kind"), "was", "field").agg(F.count("*").alias("n")).collect()
+    moved = drifts(mine).where("NOT contains(field, '.')").groupBy(F.lit(kind).alias("doc_kind"), "drift", "was", "field").agg(F.count("*").alias("n")).collect()
     seen = profiles(leaves).collect()
-    names = canonical_names(seen, moved)
+    names = canonical_names(seen, moved, _together(leaves, {f for r in moved if r["drift"] == "renamed" for f in (r["was"], r["field"])}))
     types: dict[str, dict[str, int]] = {}
     for r in seen:
         for t, n in r["types"].items():

@@ -89,3 +89,15 @@ def test_unified_table(spark):
     assert got[2]["n"] == 2.5 and got[3]["file_id_"] == "x" and got[3]["o"] == '{"z": "1"}' and set(got) == {1, 2, 3}
     names = {c for c in got[1]}
     assert ("old" in names) != ("new" in names)  # one column for the renamed field
+
+
+def test_names_that_a_file_has_together_stay_apart(spark):
+    data = rows([{"id": 1, "state": "x"}, {"id": 1, "owner": "y"}, {"id": 1, "state": "x", "owner": "y"}])
+    got = {r["file_id"]: r.asDict() for r in unified(spark.createDataFrame(data, SCHEMA), "flow_shard").collect()}
+    assert [(got[k]["state"], got[k]["owner"]) for k in (1, 2, 3)] == [("x", None), (None, "y"), ("x", "y")]
+
+
+def test_chance_sighting_is_no_rename(spark):
+    """One sighting among many comings and goings, of names and values that have nothing in common."""
+    objs = [{"k": 1, "abc": "x"}, {"k": 1, "xyz": "y"}] + [o for _ in range(6) for o in ({"k": 1}, {"k": 1, "abc": "x"}, {"k": 1}, {"k": 1, "xyz": "y"})]
+    assert {"abc", "xyz"} <= set(unified(spark.createDataFrame(rows(objs), SCHEMA), "flow_shard").columns)
