@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import difflib
+import hashlib
+import itertools
 import json
+import sys
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -219,14 +222,14 @@ def _carry(ends: list) -> dict[int, tuple[str | None, dict]]:
     return out
 
 
-def _drifts(starts: dict, lone_only: bool):
+def _drifts(starts: dict, lone_only: bool, between: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         stream, known = starts.get(TaskContext.get().partitionId(), (None, None))
         out = []
         for s, file_id, now in _files(batches):
             if known is not None and s == stream:
                 if known.keys() != now.keys() or any(t and known[p] and t != known[p] for p, t in now.items()):
-                    out.extend((s, file_id, ".".join(p), how, ".".join(was) if was else None) for p, how, was in changes_between(known, now, lone_only))
+                    out.extend((s, file_id, between.join(p), how, between.join(was) if was else None) for p, how, was in changes_between(known, now, lone_only))
                 known = _advance(known, now)
             else:
                 stream, known = s, _advance({}, now)
@@ -244,12 +247,12 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=["stream", "file_id", "field", "drift", "was"])
 
 
-def drifts(files: DataFrame, lone_only: bool = True, parts: int | None = None) -> DataFrame:
+def drifts(files: DataFrame, lone_only: bool = True, parts: int | None = None, between: str = ".") -> DataFrame:
     """``stream``, ``file_id``, ``field``, ``drift`` (added, removed, retyped, renamed) and ``was``, a rename's old field.
 
     ``files`` has ``stream``, ``written_at``, ``file_id``, ``raw``; other columns don't matter. Files whose ``raw`` isn't a JSON
     object are no versions. Null streams are one stream, null times come first, repeated rows count once. A stream's first file
-    gives no row. Rows have no duplicates within a file. Names that are equal but for letter case are different fields.
+    gives no row. ``between`` stands between the steps of a path. Rows have no duplicates within a file. Names that are equal but for letter case are different fields.
 
     Files are reduced to their fields, sorted over all partitions by stream, time and id, and read once in that order, so a
     stream of any length spreads over many tasks. What a partition must know of the stream it continues (the fields there and
@@ -264,32 +267,111 @@ def drifts(files: DataFrame, lone_only: bool = True, parts: int | None = None) -
     order = [F.col(c).asc_nulls_first() for c in ("stream", "written_at", "file_id")]
     sorted_files = parsed.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
     ends = sorted_files.mapInArrow(_ends, "part int, first string, last string, whole boolean, paths array<string>, types array<string>").collect()
-    return sorted_files.mapInArrow(_drifts(_carry(ends), lone_only), "stream string, file_id long, field string, drift string, was string")
+    return sorted_files.mapInArrow(_drifts(_carry(ends), lone_only, between), "stream string, file_id long, field string, drift string, was string")
 
 
 # One consistent table
 
 
-def _leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each file's top-level values as text: objects and arrays as JSON."""
-    for b in batches:
-        rows = []
-        for kind, file_id, raw in zip(b["doc_kind"].to_pylist(), b["file_id"].to_pylist(), b["raw"].to_pylist()):
-            for name, v in (read_object(raw) or {}).items():
-                t = kind_of(v)
-                rows.append((kind, file_id, name, t, None if not t else json.dumps(v, ensure_ascii=False, sort_keys=True) if t in ("object", "array") else ("true" if v else "false") if t == "boolean" else str(v)))
-        cols = list(zip(*rows)) or [()] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.string()) for c in cols[2:]]], names=["doc_kind", "file_id", "field", "type", "value"])
+def written(v) -> str:
+    """JSON text of a value, numbers as they were written, members by name."""
+    if v is None:
+        return "null"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, (_Int, _Dec)):
+        return str(v)
+    if isinstance(v, dict):
+        return "{" + ", ".join([f"{json.dumps(k, ensure_ascii=False)}: {written(v[k])}" for k in sorted(v)]) + "}"
+    if isinstance(v, list):
+        return "[" + ", ".join([written(x) for x in v]) + "]"
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _text(v) -> str | None:
+    """A value as text: as written, strings without quotes."""
+    return None if v is None else str(v) if isinstance(v, str) else written(v)
+
+
+def members_of(obj: dict, nested: bool) -> Iterator[tuple[tuple[str, ...], object]]:
+    """(path, value) of all members, as in :func:`fields_of`, and of all members of arrays (``steps[]``); top level only without ``nested``."""
+    todo: list[tuple[tuple[str, ...], object]] = [((name,), v) for name, v in obj.items()]
+    while todo:
+        path, v = todo.pop()
+        yield path, v
+        if nested and isinstance(v, dict):
+            todo.extend(((*path, name), x) for name, x in v.items())
+        elif nested and isinstance(v, list):
+            todo.extend(((*path[:-1], path[-1] + "[]"), x) for x in v)
+
+
+def _pack_path(path: tuple[str, ...]) -> str:
+    """One text per path; that of the whole object is empty, that of a member without a name isn't."""
+    return "".join([_SEP + step for step in path])
 
 
 #: Values kept in a field's sketch: those of smallest hash.
 SKETCH = 32
+_PROFILE = "parent string, field string, other string, n long, types array<string>, sketch array<long>"
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) % 4096
+
+
+def _least(hashes: Iterable[int]) -> set[int]:
+    return set(sorted(hashes)[:SKETCH])
+
+
+def _profile(nested: bool, renamed: set[tuple[str, str]]):
+    """One row per field and partition (types and a sketch of values), and one per two of ``renamed`` that a file has together (``other``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields: dict[tuple[str, ...], list] = {}
+        pairs: set[tuple[str, str, str]] = set()
+        for b in batches:
+            for raw in b["raw"].to_pylist():
+                here: dict[str, set[str]] = {}
+                once = set()
+                for path, v in members_of(read_object(raw) or {}, nested):
+                    at = fields.setdefault(path, [0, set(), set()])
+                    at[1].add(kind_of(v))
+                    if v is not None and not isinstance(v, (dict, list)):
+                        at[2].add(_hash(_text(v)))
+                        if len(at[2]) > 8 * SKETCH:
+                            at[2] = _least(at[2])
+                    if path not in once:
+                        once.add(path)
+                        at[0] += 1
+                        parent = _pack_path(path[:-1])
+                        if (parent, path[-1]) in renamed:
+                            here.setdefault(parent, set()).add(path[-1])
+                for parent, names in here.items():
+                    pairs.update((parent, x, y) for x, y in itertools.combinations(sorted(names), 2))
+        out = [(_pack_path(p[:-1]), p[-1], None, n, sorted(types), sorted(_least(seen))) for p, (n, types, seen) in fields.items()]
+        out += [(*pair, 0, [], []) for pair in sorted(pairs)]
+        kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64())]
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["parent", "field", "other", "n", "types", "sketch"])
+
+    return run
 
 
-def profiles(leaves: DataFrame) -> DataFrame:
-    """Per kind of document and field: rows, types with counts and a sketch of values (the smallest hashes of distinct values)."""
-    per = leaves.groupBy("doc_kind", "field", "type").agg(F.count("*").alias("n"), F.array_sort(F.collect_set(F.pmod(F.xxhash64("value"), F.lit(4096)))).alias("seen"))
-    return per.groupBy("doc_kind", "field").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("type", "n"))).alias("types"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("seen")))), 1, SKETCH).alias("sketch"))
+def profiles(files: DataFrame, nested: bool = True, renamed: set[tuple[str, str]] = frozenset()) -> tuple[dict, set]:
+    """{(parent, field): {n, types, sketch}} and {(parent, field, field)} of ``renamed`` that a file has together.
+
+    ``n`` counts files; the sketch has the smallest hashes of distinct values that are no objects and no arrays.
+    """
+    fields: dict[tuple[str, str], dict] = {}
+    together = set()
+    rows = files.select("raw").mapInArrow(_profile(nested, renamed), _PROFILE)
+    merged = rows.groupBy("parent", "field", "other").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("types"))).alias("types"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("sketch")))), 1, SKETCH).alias("sketch"))
+    for r in merged.collect():
+        if r["other"] is not None:
+            together.add((r["parent"], r["field"], r["other"]))
+        else:
+            fields[r["parent"], r["field"]] = {"n": r["n"], "types": set(r["types"]), "sketch": set(r["sketch"])}
+    return fields, together
 
 
 def is_rename(sighted: int, gone: int, come: int, files: int, alike: float, shared: float) -> bool:
@@ -306,25 +388,27 @@ def is_rename(sighted: int, gone: int, come: int, files: int, alike: float, shar
     return sighted > 1 and sighted > chance + 3 * chance**0.5
 
 
-def canonical_names(fields: list, moves: list, together: set[tuple[str, str, str]]) -> dict[tuple[str, str], str]:
-    """(kind, field) to the name it has in the unified table.
+def canonical_names(seen: dict, moves: list, together: set[tuple[str, str, str]]) -> dict[tuple[str, str], str]:
+    """(parent, field) to the name it has in the unified table; a parent is a path as one text.
 
-    ``fields``: rows of :func:`profiles`; ``moves``: rows (doc_kind, drift, was, field, n) seen between files; ``together``:
-    (kind, field, field) that some file has both. Old and new names are matched so that the total of sightings' share, name
+    ``seen``: fields as of :func:`profiles`; ``moves``: (parent, drift, was, field, n) seen between files; ``together``:
+    (parent, field, field) that some file has both. Old and new names are matched so that the total of sightings' share, name
     similarity and sketch overlap is greatest, over pairs that :func:`is_rename` accepts. Names that any file has together are
     never joined, nor are groups that hold such names; chains of renames end at the name with most rows.
     """
-    seen = {(r["doc_kind"], r["field"]): r for r in fields}
     names = {k: k[1] for k in seen}
-    for kind in sorted({k for k, _ in seen}, key=str):
-        mine = [r for r in moves if r["doc_kind"] == kind]
-        pairs = {(r["was"], r["field"]): r["n"] for r in mine if r["drift"] == "renamed" and (kind, r["was"]) in seen and (kind, r["field"]) in seen}
-        gone, come = Counter(), Counter()
-        for r in mine:
-            if r["drift"] in ("removed", "renamed"):
-                gone[r["was"] or r["field"]] += r["n"]
-            if r["drift"] in ("added", "renamed"):
-                come[r["field"]] += r["n"]
+    for kind in sorted({k for k, _ in seen}):
+        mine = [m[1:] for m in moves if m[0] == kind]
+        pairs, gone, come = Counter(), Counter(), Counter()
+        for drift, was, field, n in mine:
+            if drift == "renamed" and (kind, was) in seen and (kind, field) in seen:
+                pairs[was, field] += n
+            if drift in ("removed", "renamed"):
+                gone[was or field] += n
+            if drift in ("added", "renamed"):
+                come[field] += n
+        if not pairs:
+            continue
         files = max(seen[kind, f]["n"] for k, f in seen if k == kind)
         apart = {(a, b) for k, a, b in together if k == kind} | {(b, a) for k, a, b in together if k == kind}
         old, new = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
@@ -332,7 +416,7 @@ def canonical_names(fields: list, moves: list, together: set[tuple[str, str, str
         def worth(a: str, b: str) -> float:
             if (a, b) not in pairs or a == b or (a, b) in apart:
                 return -1.0
-            s, t = set(seen[kind, a]["sketch"]), set(seen[kind, b]["sketch"])
+            s, t = seen[kind, a]["sketch"], seen[kind, b]["sketch"]
             shared = len(s & t) / len(s | t) if s | t else 0.0
             alike = difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
             # Few values, as of booleans, are shared by fields that have nothing to do with each other.
@@ -352,55 +436,103 @@ def canonical_names(fields: list, moves: list, together: set[tuple[str, str, str
     return names
 
 
-def column_type(types: dict[str, int]) -> str:
-    """The narrowest type that holds all values."""
-    kinds = {t for t in types if t}
+def canonical_paths(seen: dict, moves: list, together: set[tuple[str, str, str]]) -> dict[str, tuple[str, ...]]:
+    """Path of each field to its path in the unified table, each path as one text. Arguments as in :func:`canonical_names`.
+
+    Names are joined from the top down, so that members of one object under two names are joined as well.
+    """
+    to: dict[str, tuple[str, ...]] = {"": ()}
+    for level in range(max((p.count(_SEP) for p, _ in seen), default=0) + 1):
+        mine = [k for k in seen if k[0].count(_SEP) == level]
+        real = [(p, f) for p, f in mine if not any((p, base) in seen for base in list(_names(f))[1:])]
+        merged: dict[tuple[str, str], dict] = {}
+        for p, f in real:
+            at = merged.setdefault((_pack_path(to[p]), f), {"n": 0, "sketch": set()})
+            at["n"] += seen[p, f]["n"]
+            at["sketch"] = _least(at["sketch"] | seen[p, f]["sketch"])
+        names = canonical_names(merged, [(_pack_path(to[m[0]]), *m[1:]) for m in moves if m[0].count(_SEP) == level and m[0] in to], {(_pack_path(to[p]), a, b) for p, a, b in together if p.count(_SEP) == level})
+        for p, f in real:
+            to[p + _SEP + f] = (*to[p], names[_pack_path(to[p]), f])
+        for p, f in sorted(set(mine) - set(real), key=lambda k: len(k[1])):
+            above = to[p + _SEP + f[:-2]]
+            to[p + _SEP + f] = (*above[:-1], above[-1] + "[]")
+    return to
+
+
+def unify(v, path: str, to: dict[str, tuple[str, ...]], types: dict[tuple[str, ...], str]):
+    """A value with all members under their names of the unified table; what is of a mixed type there, as text."""
+    if isinstance(v, dict):
+        v = {to[at][-1]: unify(x, at, to, types) for name, x in v.items() for at in [path + _SEP + name]}
+    elif isinstance(v, list):
+        v = [unify(x, path + "[]", to, types) for x in v]
+    return _text(v) if types[to[path]] == "string" else v
+
+
+def _values(to: dict[str, tuple[str, ...]] | None, types: dict[tuple[str, ...], str]):
+    """Each file's top-level values as text, objects and arrays as JSON; their members unified if ``to`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # as deep as the reader goes
+        for b in batches:
+            rows = []
+            for file_id, raw in zip(b["file_id"].to_pylist(), b["raw"].to_pylist()):
+                for name, v in (read_object(raw) or {}).items():
+                    if to is not None:
+                        rows.append((file_id, name, _text(unify(v, _SEP + name, to, types))))
+                    else:
+                        rows.append((file_id, name, json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, (dict, list)) else _text(v)))
+            cols = list(zip(*rows)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["file_id", "field", "value"])
+
+    return run
+
+
+def column_type(kinds: set[str]) -> str:
+    """The narrowest type that holds all values; object and array stay what they are inside JSON text."""
+    kinds = kinds - {""}
     if kinds == {"integer"}:
         return "decimal(38,0)"
     if kinds and kinds <= {"integer", "decimal"}:
         return "double"
-    return "boolean" if kinds == {"boolean"} else "string"
-
-
-def _together(leaves: DataFrame, names: set[str]) -> set[tuple[str, str, str]]:
-    """(kind, field, field) of ``names``, the smaller first, that some file has both, null or not."""
-    if not names:
-        return set()
-    met = leaves.where(F.col("field").isin(sorted(names))).groupBy("doc_kind", "file_id").agg(F.collect_set("field").alias("all"))
-    pairs = met.select("doc_kind", F.explode("all").alias("a"), "all").select("doc_kind", "a", F.explode("all").alias("b")).where("a < b").distinct()
-    return {tuple(r) for r in pairs.collect()}
+    return next(iter(kinds)) if len(kinds) == 1 else "string"
 
 
-def unified(files: DataFrame, kind: str) -> DataFrame:
+def unified(files: DataFrame, kind: str, nested: bool = False) -> DataFrame:
     """All files of one kind of document as one table: ``file_id`` and a column per top-level field after renames.
 
     A column's type holds all values that any file has there (integers that mix with fractions become double, other mixtures
-    text; objects and arrays are JSON text). Files that are no JSON objects give no row; repeated rows count once. Names that any
-    file has together are two columns, so no value is left out for another. A field called ``file_id`` in the files gets a trailing
-    underscore, and so do fields that clash but for letter case. Only schemas come to the driver.
+    text; objects and arrays are JSON text). With ``nested``, the same goes for members at any depth, also of objects in arrays:
+    inside JSON text each has one name and one type, numbers are written as in the file and mixtures are strings. Without it,
+    JSON text has the members' own names and all its numbers are strings. Files that are no JSON objects give no row; repeated
+    rows count once. Names that any file has together stay two, so no value is left out for another. A field called ``file_id``
+    in the files gets a trailing underscore, and so do fields that clash but for letter case. Only schemas come to the driver.
     """
     ship(files.sparkSession)
     mine = files.where(F.col("doc_kind") == kind)
-    leaves = mine.select("doc_kind", F.col("file_id").cast("long").alias("file_id"), "raw").mapInArrow(_leaves, "doc_kind string, file_id long, field string, type string, value string")
-    moved = drifts(mine).where("NOT contains(field, '.')").groupBy(F.lit(kind).alias("doc_kind"), "drift", "was", "field").agg(F.count("*").alias("n")).collect()
-    seen = profiles(leaves).collect()
-    names = canonical_names(seen, moved, _together(leaves, {f for r in moved if r["drift"] == "renamed" for f in (r["was"], r["field"])}))
-    types: dict[str, dict[str, int]] = {}
-    for r in seen:
-        for t, n in r["types"].items():
-            at = types.setdefault(names[r["doc_kind"], r["field"]], {})
-            at[t] = at.get(t, 0) + n
+    moves = []
+    for r in drifts(mine, between=_SEP).groupBy("drift", "was", "field").agg(F.count("*").alias("n")).collect():
+        parent, _, field = (_SEP + r["field"]).rpartition(_SEP)
+        if nested or not parent:
+            moves.append((parent, r["drift"], r["was"] and r["was"].rpartition(_SEP)[2], field, r["n"]))
+    seen, together = profiles(mine, nested, {(m[0], f) for m in moves if m[1] == "renamed" for f in m[2:4]})
+    to = canonical_paths(seen, moves, together)
+    kinds: dict[tuple[str, ...], set[str]] = {}
+    for (p, f), at in seen.items():
+        kinds.setdefault(to[p + _SEP + f], set()).update(at["types"])
+    types = {path: column_type(k) for path, k in kinds.items()}
+    leaves = mine.select(F.col("file_id").cast("long").alias("file_id"), "raw").mapInArrow(_values(to if nested else None, types), "file_id long, field string, value string")
     wanted: dict[str, list[str]] = {}
-    for r in sorted(seen, key=lambda r: (-r["n"], r["field"])):
-        wanted.setdefault(names[r["doc_kind"], r["field"]], []).append(r["field"])
+    for p, f in seen:
+        if not p and not (f.endswith("[]") and (p, f[:-2]) in seen):
+            wanted.setdefault(to[_SEP + f][0], []).append(f)
     taken, cols = {"file_id"}, []
     for name, all_names in sorted(wanted.items()):
         shown = name
         while shown.lower() in taken:
             shown += "_"
         taken.add(shown.lower())
-        values = [F.max(F.when(F.col("field") == x, F.col("value"))) for x in all_names]
-        cols.append(F.coalesce(*values).try_cast(column_type(types[name])).alias(shown))
+        t = types[name,]
+        cols.append(F.max(F.when(F.col("field").isin(all_names), F.col("value"))).try_cast("string" if t in ("object", "array") else t).alias(shown))
     if not cols:
         return leaves.groupBy("file_id").agg(F.count("*").alias("_n")).select("file_id")
     return leaves.groupBy("file_id").agg(*cols)

@@ -24,7 +24,7 @@ def p6_changes_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unified(kind: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unified(table(spark, sf_dir, "shard_files"), kind)
+    return unified(table(spark, sf_dir, "shard_files"), kind, nested=True)
 
 
 QUERIES = {"p6_found": p6_found, "p6_changes_by_kind": p6_changes_by_kind, "p6_flow_shards": partial(_unified, "flow_shard"), "p6_truth_intents": partial(_unified, "truth_intent")}

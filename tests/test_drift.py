@@ -101,3 +101,18 @@ def test_chance_sighting_is_no_rename(spark):
     """One sighting among many comings and goings, of names and values that have nothing in common."""
     objs = [{"k": 1, "abc": "x"}, {"k": 1, "xyz": "y"}] + [o for _ in range(6) for o in ({"k": 1}, {"k": 1, "abc": "x"}, {"k": 1}, {"k": 1, "xyz": "y"})]
     assert {"abc", "xyz"} <= set(unified(spark.createDataFrame(rows(objs), SCHEMA), "flow_shard").columns)
+
+
+def test_unified_inside_objects_and_arrays(spark):
+    """One name and one type at any depth; numbers stay numbers."""
+    objs = [{"f": {"n": 1, "x": 1, "steps": [{"node": "a", "since": "d1"}, {"node": "b", "since": "d2"}]}}, {"f": {"n": 1.5, "x": "s", "steps": [{"node": "a", "Since": "d3"}]}}, {"f": {"n": 2, "x": [{"y": 1}], "steps": []}}]
+    got = {r["file_id"]: json.loads(r["f"]) for r in unified(spark.createDataFrame(rows(objs), SCHEMA), "flow_shard", nested=True).collect()}
+    assert [got[k]["n"] for k in (1, 2, 3)] == [1, 1.5, 2] and [got[k]["x"] for k in (1, 2, 3)] == ["1", "s", '[{"y": 1}]']
+    assert len({name for f in got.values() for x in f["steps"] for name in x}) == 2 and [len(x) for x in got[1]["steps"]] == [2, 2]
+
+
+def test_unified_joins_objects_and_their_members(spark):
+    objs = [{"flow": {"a": 1}, "k": 1}, {"Flow": {"a": 2}, "k": 1}, {"Flow": {"a": "x"}, "k": 1}]
+    df = unified(spark.createDataFrame(rows(objs), SCHEMA), "flow_shard", nested=True)
+    assert len(df.columns) == 3
+    assert sorted(r[next(c for c in df.columns if c.lower() == "flow")] for r in df.collect()) == ['{"a": "1"}', '{"a": "2"}', '{"a": "x"}']
