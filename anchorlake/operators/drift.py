@@ -316,13 +316,19 @@ _PROFILE = "parent string, field string, other string, n long, types array<strin
 
 
 def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True) % 4096
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
 def _least(hashes: Iterable[int]) -> set[int]:
     return set(sorted(hashes)[:SKETCH])
 
 
+def overlap(s: set[int], t: set[int]) -> float:
+    """Estimated share of values that two fields have in common, of their union: the smallest hashes of both are a sample of it."""
+    union = _least(s | t)
+    return len(union & s & t) / len(union) if union else 0.0
+
+
 def _profile(nested: bool, renamed: set[tuple[str, str]]):
     """One row per field and partition (types and a sketch of values), and one per two of ``renamed`` that a file has together (``other``)."""
 
@@ -392,9 +398,10 @@ def canonical_names(seen: dict, moves: list, together: set[tuple[str, str, str]]
     """(parent, field) to the name it has in the unified table; a parent is a path as one text.
 
     ``seen``: fields as of :func:`profiles`; ``moves``: (parent, drift, was, field, n) seen between files; ``together``:
-    (parent, field, field) that some file has both. Old and new names are matched so that the total of sightings' share, name
-    similarity and sketch overlap is greatest, over pairs that :func:`is_rename` accepts. Names that any file has together are
-    never joined, nor are groups that hold such names; chains of renames end at the name with most rows.
+    (parent, field, field) that some file has both. Versions of one stream were matched one to one; over streams a field may have
+    many names. All pairs that :func:`is_rename` accepts are joined, those of greatest sum of sightings' share, name similarity
+    and sketch overlap first, except that names that any file has together are never joined, nor groups that hold such names. A
+    group has the name with most rows.
     """
     names = {k: k[1] for k in seen}
     for kind in sorted({k for k, _ in seen}):
@@ -411,24 +418,23 @@ def canonical_names(seen: dict, moves: list, together: set[tuple[str, str, str]]
             continue
         files = max(seen[kind, f]["n"] for k, f in seen if k == kind)
         apart = {(a, b) for k, a, b in together if k == kind} | {(b, a) for k, a, b in together if k == kind}
-        old, new = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
 
         def worth(a: str, b: str) -> float:
-            if (a, b) not in pairs or a == b or (a, b) in apart:
+            if a == b or (a, b) in apart:
                 return -1.0
             s, t = seen[kind, a]["sketch"], seen[kind, b]["sketch"]
-            shared = len(s & t) / len(s | t) if s | t else 0.0
+            shared = overlap(s, t)
             alike = difflib.SequenceMatcher(None, a.lower(), b.lower()).ratio()
             # Few values, as of booleans, are shared by fields that have nothing to do with each other.
             if not is_rename(pairs[a, b], gone[a], come[b], files, alike, shared if min(len(s), len(t)) >= 8 else 0.0):
                 return -1.0
             return pairs[a, b] / gone[a] + alike + shared
 
-        table = [[worth(a, b) for b in new] for a in old]
         groups = {f: {f} for k, f in seen if k == kind}
-        for i, j in sorted(assign(table), key=lambda at: (-table[at[0]][at[1]], at)):
-            left, right = groups[old[i]], groups[new[j]]
-            if table[i][j] >= 0 and not any((a, b) in apart for a in left for b in right):
+        ranked = sorted((-w, a, b) for a, b in pairs if (w := worth(a, b)) >= 0)
+        for _, a, b in ranked:
+            left, right = groups[a], groups[b]
+            if left is not right and not any((x, y) in apart for x in left for y in right):
                 for f in (joined := left | right):
                     groups[f] = joined
         for f, group in groups.items():
@@ -510,7 +516,7 @@ def unified(files: DataFrame, kind: str, nested: bool = False) -> DataFrame:
     ship(files.sparkSession)
     mine = files.where(F.col("doc_kind") == kind)
     moves = []
-    for r in drifts(mine, between=_SEP).groupBy("drift", "was", "field").agg(F.count("*").alias("n")).collect():
+    for r in drifts(mine, lone_only=False, between=_SEP).groupBy("drift", "was", "field").agg(F.count("*").alias("n")).collect():
         parent, _, field = (_SEP + r["field"]).rpartition(_SEP)
         if nested or not parent:
             moves.append((parent, r["drift"], r["was"] and r["was"].rpartition(_SEP)[2], field, r["n"]))

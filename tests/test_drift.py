@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from anchorlake.operators.drift import assign, drifts, fields_of, match_fields, read_object, unified
+from anchorlake.operators.drift import assign, drifts, fields_of, match_fields, overlap, profiles, read_object, unified
 
 T0 = datetime(2024, 1, 1)
 SCHEMA = "file_id long, stream string, doc_kind string, path string, written_at timestamp, raw string"
@@ -116,3 +116,17 @@ def test_unified_joins_objects_and_their_members(spark):
     df = unified(spark.createDataFrame(rows(objs), SCHEMA), "flow_shard", nested=True)
     assert len(df.columns) == 3
     assert sorted(r[next(c for c in df.columns if c.lower() == "flow")] for r in df.collect()) == ['{"a": "1"}', '{"a": "2"}', '{"a": "x"}']
+
+
+def test_field_with_other_names_in_other_streams_is_one_column(spark):
+    """Several fields renamed at once, and one field renamed differently by each stream."""
+    data = [r for k, name in enumerate(["schemaVersion", "schema_version", "Schema"]) for r in rows([{"id": 1, "schema": 1, "user_id": "u"}, {"id": 1, name: 1, "userId": "u"}], f"s{k}", 2 * k)]
+    df = unified(spark.createDataFrame(data, SCHEMA), "flow_shard", nested=True)
+    assert len(df.columns) == 4 and all(None not in r for r in df.collect())
+
+
+def test_sketches_of_many_values_tell_columns_apart(spark):
+    data = rows([{"a": [f"a{i}" for i in range(6000)], "b": [f"b{i}" for i in range(6000)], "c": [f"a{i}" for i in range(6000)]}])
+    seen, _ = profiles(spark.createDataFrame(data, SCHEMA))
+    a, b, c = (seen["", f + "[]"]["sketch"] for f in "abc")
+    assert overlap(a, b) == 0 and overlap(a, c) == 1
