@@ -57,7 +57,7 @@ def _walk(rows: list[tuple[str, str]]) -> Iterator[tuple]:
             least = min(cycle)
             ring = set(cycle)
             at = cycle.index(least)
-            order = [least, *reversed(cycle[at + 1 :]), *reversed(cycle[:at])]  # from the smallest id towards children
+            order = [least, *reversed(cycle[:at]), *reversed(cycle[at + 1 :])]  # from the smallest id towards children
             place = {x: k for k, x in enumerate(order)}
             todo = [(x, order[: place[x] + 1]) for x in order]
             while todo:
@@ -178,10 +178,27 @@ def _long_paths(known: DataFrame) -> DataFrame:
         now = now.where(head == F.col("root_id")).unionByName(longer)
 
 
-def descendants(walked: DataFrame) -> DataFrame:
-    """``id``, ``descendant`` and ``distance`` (long) for all pairs on a path of :func:`hierarchy`; cycles give none of themselves.
+def descendants(walked: DataFrame, cycles: bool = False) -> DataFrame:
+    """``id``, ``descendant`` and ``distance`` (long) for all pairs on a path of :func:`hierarchy`.
 
-    A row for each pair: the descendants of a root that heads a third of all nodes never meet in one array.
+    A row for each pair: the descendants of a root that heads a third of all nodes never meet in one array. ``cycles``: also the
+    pairs of nodes that never reach a root (depth -1). The nodes of a cycle are each other's descendants, but not their own, and
+    all that hangs off the cycle descends from each of them; the distance is the number of links on the only way there that
+    passes no node twice. Without ``cycles`` these nodes give no row.
     """
     up = walked.where("depth >= 0").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "id"))
-    return up.where(F.col("at") < F.col("depth")).select("id", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
+    trees = up.where(F.col("at") < F.col("depth")).select("id", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
+    if not cycles:
+        return trees
+    looped = walked.where("depth = -1").select("id", "root_id", "path")
+    # The path to the parent of the smallest id is the whole cycle, from the smallest id on.
+    closing = walked.where("closes_cycle").select("root_id", F.col("parent").alias("id"))
+    rings = looped.join(closing, ["root_id", "id"]).select("root_id", F.posexplode("path").alias("place", "id"))
+    sizes = rings.groupBy("root_id").agg(F.count("*").alias("ring"))
+    # Where the path leaves the cycle: its last node that is on it.
+    steps = looped.join(sizes, "root_id").select("root_id", "ring", F.col("id").alias("descendant"), F.size("path").alias("length"), F.posexplode("path").alias("at", "id"))
+    marked = steps.join(rings, ["root_id", "id"], "left")
+    off = marked.where(F.col("place").isNull()).select("id", "descendant", (F.col("length") - 1 - F.col("at")).cast("long").alias("distance")).where("distance > 0")
+    leave = marked.where(F.col("place").isNotNull()).groupBy("root_id", "ring", "descendant", "length").agg(F.max("place").alias("exit"))
+    round_ = leave.join(rings, "root_id").select("id", "descendant", (F.pmod(F.col("exit") - F.col("place"), F.col("ring")) + F.col("length") - 1 - F.col("exit")).cast("long").alias("distance"))
+    return trees.unionByName(off).unionByName(round_.where("id <> descendant"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorlake.common import filled, records, table
+from anchorlake.common import filled, keep, records, table
 from anchorlake.operators.hierarchy import descendants, hierarchy
 
 
@@ -30,6 +30,16 @@ def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return descendants(hierarchy(links(spark, sf_dir)))
 
 
+def p3_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full path of each change that overturns one, those that never reach a root (depth -1) included: from the cycle's smallest id."""
+    return hierarchy(links(spark, sf_dir)).select("id", "root_id", "depth", F.concat_ws(" > ", "path").alias("path"))
+
+
+def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All descendants of each change, with their distance, on cycles and below them as well."""
+    return descendants(keep(hierarchy(links(spark, sf_dir))), cycles=True)
+
+
 def p3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The link of each cycle's smallest id, and how many changes never reach a root because of it."""
     walked = hierarchy(links(spark, sf_dir)).where("depth = -1")
@@ -61,4 +71,4 @@ SQL["p3_descendants"] = (
 d AS (SELECT id AS x, p AS y, 1 AS n FROM e WHERE id IN (SELECT id FROM w) UNION ALL SELECT d.x, e.p, n + 1 FROM d JOIN e ON e.id = d.y)
 SELECT y AS id, x AS descendant, n::BIGINT AS distance FROM d"""
 )
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_all_paths": p3_all_paths, "p3_all_descendants": p3_all_descendants, "p3_cycles": p3_cycles}

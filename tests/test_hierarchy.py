@@ -52,3 +52,19 @@ def test_nulls_and_empty(spark):
 def test_descendants(spark):
     h = hierarchy(spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("x", "y"), ("y", "x")], "id string, parent string"))
     assert sorted(map(tuple, descendants(h).collect())) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 2), ("b", "c", 1), ("b", "d", 1)]
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_descendants_on_and_below_cycles(spark, most):
+    """A cycle of five with trees on it, one that is entered elsewhere than at its smallest id, one node of its own, a tree."""
+    links = [(f"c{i}", f"c{(i + 2) % 5}") for i in range(5)] + [("t1", "c3"), ("t2", "t1"), ("t3", "t2"), ("u", "c0"), ("self", "self"), ("v", "self"), ("b", "a"), ("d", "b")]
+    links += [(f"m{i}", f"m{(i + 1) % 5}") for i in range(5)] + [("e", "m3")]
+    up, want = dict(links), set()
+    for x in up:
+        at, n, seen = x, 0, {x}
+        while at in up and up[at] not in seen:
+            at, n = up[at], n + 1
+            seen.add(at)
+            want.add((at, x, n))
+    got = list(map(tuple, descendants(hierarchy(spark.createDataFrame(links, "id string, parent string"), most_nodes=most), cycles=True).collect()))
+    assert sorted(got) == sorted(want)
