@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -40,10 +41,16 @@ def records(df: DataFrame, key: str, cols: list[str], at: str = "loaded_at") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share, from ``spark.checkpoint.dir``.
+
+    Only a local master, whose executors are this machine, may go without the setting. A cluster raises, as its executors would
+    write to disks of their own and read back a part.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if given:
         return given
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     made = getattr(spark, "_anchorlake_dir", None)
     if made is None:
         made = spark._anchorlake_dir = "file://" + tempfile.mkdtemp(prefix="anchorlake-")

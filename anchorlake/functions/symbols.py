@@ -20,7 +20,8 @@ _DECLARED = {
     "rust": re.compile(r"^[ \t]*(?:pub(?:\([^)]*\))?[ \t]+)?(?:(?:const|async|unsafe|extern)[ \t]+)*(?:fn[ \t]+(?P<fn>\w+)|(?:struct|enum|trait|union|type|mod)[ \t]+(?P<type>\w+)|(?:const|static)[ \t]+(?:mut[ \t]+)?(?P<value>[A-Z]\w*))", re.M),
     "java": re.compile(r"^[ \t]*(?:(?:public|private|protected|static|final|abstract|sealed|synchronized|default|native|strictfp)[ \t]+)*(?:(?:class|interface|enum|record)[ \t]+(?P<type>\w+)|(?:<[^>]*>[ \t]*)?[\w.<>\[\], ?]+[ \t]+(?P<fn>\w+)[ \t]*\((?=[^;]*\)[^;]*\{))", re.M),
 }
-_MARKER = re.compile(r"(?i)code generated .* do not edit|@generated\b|auto-?generated")
+#: The line comment by which tools mark what they write (fixed value).
+_MARKER = re.compile(r"// Code generated .* DO NOT EDIT\.")
 
 
 def blanked(text: str, lang: str) -> str:
@@ -132,7 +133,7 @@ def go_file(text: str) -> tuple[str, dict[str, str], list[tuple[str, str, str]],
 
 
 def generated(text: str) -> bool:
-    """Whether the comments before the first code say that a tool wrote the file; looks at the first 64 KiB."""
-    head = text[:65536]
-    lead = re.match(r"(?:\s+|//[^\n]*\n?|#[^\n]*\n?|/\*[\s\S]*?\*/)*", head).group()
-    return bool(_MARKER.search(lead))
+    """Whether one of the line comments before the first code, within the first 64 KiB, is exactly the marker of generated code."""
+    lead = re.match(rb"(?:[ \t\r\n\f\v]+|//[^\n]*\n?|/\*[\s\S]*?\*/)*", text.encode()[:65536]).group().decode(errors="replace")
+    bare = re.sub(r"/\*[\s\S]*?\*/|(//[^\n]*)", lambda m: m[1] or " ", lead)
+    return any(_MARKER.fullmatch(line.strip(" \t\f\v").removesuffix("\r")) for line in bare.split("\n"))

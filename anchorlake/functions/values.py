@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 
 #: What a confidence falls to when its entry moves to another node, and tokens an entry of a level may have (fixed values).
 DEMOTED = {"verified": "inferred", "inferred": "suspect", "derived": "suspect"}
-HARD_TOKENS = {"project": 2000, "dir": 1200, "file": 800, "function": 400, "decl": 400, "stmt": 150}
+HARD_TOKENS = {"project": 300, "dir": 150, "file": 1000, "function": 250, "decl": 250, "stmt": 50}
+#: Beyond these a text is only warned of; other levels have no such bound, unknown levels the last hard one (fixed values).
+SOFT_TOKENS = {"file": 600}
+OTHER_TOKENS = 250
 
 
 def demoted(confidence: Column) -> Column:
@@ -23,10 +26,13 @@ def demoted(confidence: Column) -> Column:
 
 
 def over_budget(tokens: Column, level: Column) -> Column:
-    limit = F.lit(None).cast("int")
+    """reject beyond the level's hard bound, warn beyond its soft one, else ok."""
+    hard, soft = F.lit(OTHER_TOKENS), F.lit(None).cast("int")
     for name, n in HARD_TOKENS.items():
-        limit = F.when(level == name, n).otherwise(limit)
-    return F.coalesce(tokens > limit, F.lit(False))
+        hard = F.when(level == name, n).otherwise(hard)
+    for name, n in SOFT_TOKENS.items():
+        soft = F.when(level == name, n).otherwise(soft)
+    return F.when(tokens > hard, "reject").when(tokens > soft, "warn").otherwise("ok")
 
 
 def change_id(text: Column) -> Column:

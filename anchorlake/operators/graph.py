@@ -22,6 +22,14 @@ def open_disputes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(active.withColumnRenamed("entry_id", "src"), "src", "left_semi").join(active.withColumnRenamed("entry_id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
+def declared_disputes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``src, ref, dst`` of open disputes as declared: a row for each reference to an active entry, also if two mean the same one."""
+    active = entries.where("active").select("entry_id")
+    refs = entries.where("active").select(F.col("entry_id").alias("src"), F.explode("disputes").alias("_r")).select("src", filled("_r").alias("ref")).where("ref IS NOT NULL").distinct()
+    got = resolve_entries(refs, nodes, entries).where("entry_id IS NOT NULL").select("src", "ref", F.col("entry_id").alias("dst"))
+    return got.join(active.withColumnRenamed("entry_id", "dst"), "dst", "left_semi").select("src", "ref", "dst")
+
+
 def disputed(disputes: DataFrame) -> DataFrame:
     """``entry_id`` of both sides, each once."""
     return disputes.select(F.col("src").alias("entry_id")).unionByName(disputes.select(F.col("dst").alias("entry_id"))).distinct()

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from anchorlake.common import keep
 from anchorlake.functions import text as T
 
 #: Two sets are alike if 9 * both > 4 * (a + b), which is a Jaccard coefficient above 0.8 in integers.
@@ -26,43 +27,56 @@ def gram_sets(texts: DataFrame, key: str, text: str = "text") -> DataFrame:
     return texts.select(key, T.grams(F.col(text)).alias("grams")).where(F.size("grams") > 0)
 
 
-def alike_within(texts: DataFrame, group: str, key: str) -> DataFrame:
-    """``group, a, b`` of alike texts of one group, a < b. Groups are nodes, whose entries are few."""
-    s = texts.select(group, key, T.grams(F.col("text")).alias("grams")).where(F.size("grams") > 0)
-    a, b = s.select(group, F.col(key).alias("a"), F.col("grams").alias("_g")), s.select(group, F.col(key).alias("b"), F.col("grams").alias("_h"))
-    return a.join(b, group).where((F.col("a") < F.col("b")) & sized(F.col("_g"), F.col("_h")) & alike(F.col("_g"), F.col("_h"))).select(group, "a", "b")
+def prefixes(sets: DataFrame, key: list[str], within: list[str] = ()) -> DataFrame:
+    """``key, gram`` (and ``within``): of each set its ceil(n / 5) rarest grams, by how many sets have them, then by the gram.
+
+    Alike sets share more than four fifths of the greater one, so both their prefixes in one order have a gram in common. With
+    ``within``, how rare a gram is, is counted per group.
+    """
+    g = sets.select(*key, *within, F.explode("grams").alias("gram"))
+    often = g.groupBy(*within, "gram").agg(F.count("*").alias("_df"))
+    ordered = g.join(often, [*within, "gram"]).groupBy(*key, *within).agg(F.array_sort(F.collect_list(F.struct("_df", "gram"))).alias("_o"))
+    short = ordered.select(*key, *within, F.explode(F.slice("_o", F.lit(1), F.ceil(F.size("_o") / 5).cast("int"))).alias("_g"))
+    return short.select(*key, *within, F.col("_g.gram").alias("gram"))
 
 
-def prefixes(sets: DataFrame, key: str) -> DataFrame:
-    """``key, gram, grams``: of each set its ceil(n / 5) rarest grams, by how many sets have them, then by the gram.
+def classes(texts: DataFrame, key: str, within: list[str] = (), text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Membership (``within, key, class``) and links (``within, class_a < class_b``) of texts with alike gram sets.
 
-    Alike sets share more than four fifths of the greater one, so both their prefixes in one order have a gram in common.
+    A class is all texts of one group (``within``) with one gram set and is called by its smallest key, so a text with very many
+    copies is compared once. Candidates of a group share a rare gram and are then compared exactly. Texts without grams are in no
+    class. Copies aren't expanded into pairs: members of one class, and members of linked classes, are the pairs.
     """
-    g = sets.select(key, F.explode("grams").alias("gram"))
-    often = g.groupBy("gram").agg(F.count("*").alias("_df"))
-    ordered = g.join(often, "gram").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_df", "gram"))).alias("_o"))
-    short = ordered.select(key, F.explode(F.slice("_o", F.lit(1), F.ceil(F.size("_o") / 5).cast("int"))).alias("_g"))
-    return short.select(key, F.col("_g.gram").alias("gram"))
+    s = texts.select(*within, key, T.grams(F.col(text)).alias("grams")).where(F.size("grams") > 0).withColumn("_set", F.sha2(F.array_join(F.array_sort("grams"), "\x1f"), 256))
+    one = keep(s.groupBy(*within, "_set").agg(F.min(key).alias("class"), F.first("grams").alias("grams")))
+    members = s.join(one.select(*within, "_set", "class"), [*within, "_set"]).select(*within, key, "class").distinct()
+    p = prefixes(one, ["class"], within)
+    a, b = p.withColumnRenamed("class", "class_a"), p.withColumnRenamed("class", "class_b")
+    pairs = a.join(b, [*within, "gram"]).where("class_a < class_b").select(*within, "class_a", "class_b").distinct()
+    ga, gb = one.select(*within, F.col("class").alias("class_a"), F.col("grams").alias("_g")), one.select(*within, F.col("class").alias("class_b"), F.col("grams").alias("_h"))
+    links = pairs.join(ga, [*within, "class_a"]).join(gb, [*within, "class_b"]).where(sized(F.col("_g"), F.col("_h")) & alike(F.col("_g"), F.col("_h")))
+    return members, links.select(*within, "class_a", "class_b")
+
+
+def within_pairs(members: DataFrame, links: DataFrame, group: str, key: str) -> DataFrame:
+    """``group, a, b``: linked classes of a group by their first members, and each further member of a class with its first."""
+    copies = members.where(F.col(key) != F.col("class")).select(group, F.col("class").alias("a"), F.col(key).alias("b"))
+    return links.select(group, F.col("class_a").alias("a"), F.col("class_b").alias("b")).unionByName(copies)
 
 
-def alike_across(sets: DataFrame, key: str) -> DataFrame:
-    """``a, b`` of all alike sets, a < b: candidates share a rare gram, then are compared exactly.
+def first_across(members: DataFrame, links: DataFrame, node: str, key: str, k: int = 5) -> DataFrame:
+    """``node_a, a, node_b, b``: the first ``k`` pairs of alike texts of different nodes, by node and key of both.
 
-    Equal sets are compared as one, so a text with very many copies doesn't meet itself; the copies' pairs come back by joining
-    their members.
+    Of each class only the first ``k + 1`` members of its first ``k + 1`` nodes can be in a pair among the first ``k``, so classes
+    of any size are cut to these before pairs are made.
     """
-    s = sets.withColumn("_set", F.sha2(F.array_join(F.array_sort("grams"), "\x1f"), 256))
-    one = s.groupBy("_set").agg(F.first("grams").alias("grams"))
-    p = prefixes(one, "_set")
-    a, b = p.withColumnRenamed("_set", "_a"), p.withColumnRenamed("_set", "_b")
-    pairs = a.join(b, "gram").where("_a < _b").select("_a", "_b").distinct()
-    ga, gb = one.select(F.col("_set").alias("_a"), F.col("grams").alias("_g")), one.select(F.col("_set").alias("_b"), F.col("grams").alias("_h"))
-    linked = pairs.join(ga, "_a").join(gb, "_b").where(sized(F.col("_g"), F.col("_h")) & alike(F.col("_g"), F.col("_h"))).select("_a", "_b")
-    m = s.select(key, "_set")
-    ma, mb = m.select(F.col(key).alias("x"), F.col("_set").alias("_a")), m.select(F.col(key).alias("y"), F.col("_set").alias("_b"))
-    across = linked.join(ma, "_a").join(mb, "_b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    copies = ma.join(mb, F.col("_a") == F.col("_b")).where("x < y").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    return across.unionByName(copies)
+    inner = F.row_number().over(W.partitionBy("class", node).orderBy(key))
+    few = members.withColumn("_i", inner).where(F.col("_i") <= k + 1)
+    few = few.withColumn("_j", F.dense_rank().over(W.partitionBy("class").orderBy(node))).where(F.col("_j") <= k + 1).select("class", F.col(node).alias("n"), F.col(key).alias("e"))
+    a, b = few.select(F.col("class").alias("class_a"), F.struct("n", "e").alias("x")), few.select(F.col("class").alias("class_b"), F.struct("n", "e").alias("y"))
+    both = links.select("class_a", "class_b").unionByName(members.select(F.col("class").alias("class_a"), F.col("class").alias("class_b")).distinct())
+    pairs = both.join(a, "class_a").join(b, "class_b").where("x.n <> y.n").select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    return pairs.orderBy("x", "y").limit(k).select(F.col("x.n").alias("node_a"), F.col("x.e").alias("a"), F.col("y.n").alias("node_b"), F.col("y.e").alias("b"))
 
 
 def collides(texts: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
@@ -73,7 +87,7 @@ def collides(texts: DataFrame, key: str, rejected: DataFrame) -> DataFrame:
     left = texts.select(F.concat(F.lit("t:"), F.col(key)).alias("_k"), T.grams(F.col("text")).alias("grams"))
     right = rejected.select(F.concat(F.lit("r:"), F.col("id"), F.lit("\x1f"), F.col("option")).alias("_k"), T.grams(F.col("option")).alias("grams")).distinct()
     sets = left.unionByName(right).where(F.size("grams") > 0)
-    p = prefixes(sets, "_k")
+    p = prefixes(sets, ["_k"])
     a, b = p.where("_k LIKE 't:%'").withColumnRenamed("_k", "_a"), p.where("_k LIKE 'r:%'").withColumnRenamed("_k", "_b")
     pairs = a.join(b, "gram").select("_a", "_b").distinct()
     ga, gb = sets.select(F.col("_k").alias("_a"), F.col("grams").alias("_g")), sets.select(F.col("_k").alias("_b"), F.col("grams").alias("_h"))

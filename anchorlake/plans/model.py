@@ -35,8 +35,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes; ``verified``, the evidence of a change: the table has no such field, a recorded commit stands for it."""
     got = records(table(spark, sf_dir, "journal_changes"), "id", ["nodes", "at_ts", "commit_sha", "task", "what", "why", "rejected", "overturns", "rebuttal", "reverts", "author"])
-    return got.select("id", "nodes", F.col("at_ts").alias("at"), "task", "what", "why", "rejected", filled("overturns").alias("overturns"), filled("reverts").alias("reverts"), "author")
+    return got.select("id", "nodes", F.col("at_ts").alias("at"), "task", "what", "why", "rejected", filled("overturns").alias("overturns"), filled("reverts").alias("reverts"), filled("commit_sha").alias("verified"), "author")
 
 
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +65,8 @@ WITH RECURSIVE n AS (SELECT node_id, {sql_word("level")} AS level, coalesce({sql
 e AS (SELECT entry_id, node_id, {sql_word("kind")} AS kind, coalesce(text, '') AS text, based_on, disputes, {sql_word("confidence")} AS confidence, {sql_filled("superseded_by")} AS superseded_by, author, at_ts AS at,
   ({sql_filled("superseded_by")} IS NULL AND deleted_at IS NULL AND coalesce({sql_word("confidence")}, '') <> 'refuted') AS active
   FROM {_latest("remember_entries", "entry_id", ["node_id", "kind", "text", "based_on", "disputes", "confidence", "superseded_by", "author", "at_ts", "deleted_at"])}),
-c AS (SELECT id, nodes, at_ts AS at, task, what, why, rejected, {sql_filled("overturns")} AS overturns, {sql_filled("reverts")} AS reverts, author
-  FROM {_latest("journal_changes", "id", ["nodes", "at_ts", "task", "what", "why", "rejected", "overturns", "reverts", "author"])}),
+c AS (SELECT id, nodes, at_ts AS at, task, what, why, rejected, {sql_filled("overturns")} AS overturns, {sql_filled("reverts")} AS reverts, {sql_filled("commit_sha")} AS verified, author
+  FROM {_latest("journal_changes", "id", ["nodes", "at_ts", "commit_sha", "task", "what", "why", "rejected", "overturns", "reverts", "author"])}),
 f AS (SELECT id, title, since, steps, coalesce(deprecated, false) AS deprecated FROM {_latest("flows", "id", ["title", "since", "steps", "deprecated"])})
 """
 

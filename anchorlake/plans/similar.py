@@ -14,26 +14,39 @@ from anchorlake.plans import model as m
 QUERY = [(-1) ** i / (1 + i % 9) for i in range(64)]
 
 
-def dup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active entries of one node with alike texts."""
-    return similarity.alike_within(m.entries(spark, sf_dir).where("active AND text <> '' AND node_id IS NOT NULL"), "node_id", "entry_id")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.entries(spark, sf_dir).where("active AND text <> '' AND node_id IS NOT NULL")
 
 
-def _across(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = m.entries(spark, sf_dir).where("active AND text <> '' AND node_id IS NOT NULL")
-    sets = keep(similarity.gram_sets(e, "entry_id"))
-    at = e.select(F.col("entry_id").alias("a"), F.col("node_id").alias("_m")), e.select(F.col("entry_id").alias("b"), F.col("node_id").alias("_n"))
-    return similarity.alike_across(sets, "entry_id").join(at[0], "a").join(at[1], "b").where("_m <> _n").select("a", "b")
+def dup_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active entries of one node with alike texts: classes of one gram set by their first entries, further copies with the first."""
+    return similarity.within_pairs(*similarity.classes(_texts(spark, sf_dir), "entry_id", ["node_id"]), "node_id", "entry_id")
 
 
 def dup_cross(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Active entries of different nodes with alike texts."""
-    return _across(spark, sf_dir)
+    """Each active entry that has alike ones: the first entry of its class, the class's entries and nodes, and how many classes are linked to it."""
+    members, links = similarity.classes(_texts(spark, sf_dir), "entry_id")
+    members = keep(members.join(_texts(spark, sf_dir).select("entry_id", "node_id"), "entry_id"))
+    size = members.groupBy("class").agg(F.count("*").alias("entries"), F.countDistinct("node_id").alias("nodes"))
+    ends = links.select(F.col("class_a").alias("class")).unionByName(links.select(F.col("class_b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
+    got = members.join(size, "class").join(ends, "class", "left").withColumn("links", F.coalesce("links", F.lit(0)))
+    return got.where("entries > 1 OR links > 0").select("entry_id", F.col("class").alias("first_entry"), "entries", "nodes", "links")
+
+
+def dup_cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alike classes, by their first entries."""
+    return similarity.classes(_texts(spark, sf_dir), "entry_id")[1]
+
+
+def cross_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = keep(_texts(spark, sf_dir).select("entry_id", "node_id", "text"))
+    members, links = similarity.classes(texts, "entry_id")
+    return similarity.first_across(members.join(texts.select("entry_id", "node_id"), "entry_id"), links, "node_id", "entry_id")
 
 
 def dup_cross_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first five of them."""
-    return _across(spark, sf_dir).orderBy("a", "b").limit(5)
+    """The first five pairs of alike entries of different nodes."""
+    return cross_first(spark, sf_dir)
 
 
 def rejected_options(changes: DataFrame) -> DataFrame:
@@ -104,12 +117,16 @@ _Q = "[" + ", ".join(f"{x!r}::DOUBLE" for x in QUERY) + "]"
 _S = _R + f", s AS (SELECT *, greatest(-1.0, least(1.0, list_sum(list_transform(range(1, 65), lambda i: vec[i]::DOUBLE * {_Q}[i])) / sqrt(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE))) / sqrt(list_sum(list_transform({_Q}, lambda x: x * x))))) AS score FROM r WHERE len(vec) = 64 AND NOT list_bool_or(list_transform(vec, lambda x: x IS NULL OR isnan(x) OR isinf(x))) AND list_sum(list_transform(vec, lambda x: abs(x))) > 0)"
 _G = f", g AS (SELECT entry_id, node_id, {m.sql_grams('text')} AS g FROM e WHERE active AND text <> '' AND node_id IS NOT NULL)"
 _ALIKE = "least(len(a.g), len(b.g)) * 5 > greatest(len(a.g), len(b.g)) * 4 AND len(list_intersect(a.g, b.g)) * 9 > (len(a.g) + len(b.g)) * 4"
-_X = f"SELECT least(a.entry_id, b.entry_id) AS a, greatest(a.entry_id, b.entry_id) AS b FROM g a JOIN g b ON a.entry_id < b.entry_id AND a.node_id <> b.node_id AND {_ALIKE}"
+_K = ", k AS (SELECT *, min(entry_id) OVER (PARTITION BY list_sort(g)) AS cls FROM g WHERE len(g) > 0), r1 AS (SELECT * FROM k WHERE cls = entry_id), l AS (SELECT a.cls AS class_a, b.cls AS class_b FROM r1 a JOIN r1 b ON a.cls < b.cls AND " + _ALIKE + ")"
+_KW = ", k AS (SELECT *, min(entry_id) OVER (PARTITION BY node_id, list_sort(g)) AS cls FROM g WHERE len(g) > 0), r1 AS (SELECT * FROM k WHERE cls = entry_id)"
+_WITHIN = "SELECT a.node_id, a.entry_id AS a, b.entry_id AS b FROM r1 a JOIN r1 b ON a.node_id = b.node_id AND a.entry_id < b.entry_id AND " + _ALIKE + " UNION ALL SELECT node_id, cls, entry_id FROM k WHERE cls <> entry_id"
+_FIRST = "SELECT a.node_id AS node_a, a.entry_id AS a, b.node_id AS node_b, b.entry_id AS b FROM g a JOIN g b ON a.node_id < b.node_id AND " + _ALIKE + " ORDER BY 1, 2, 3, 4 LIMIT 5"
 REJECTED = f", rj AS (SELECT DISTINCT id, {m.sql_filled('x.option')} AS option FROM (SELECT id, unnest(rejected) AS x FROM c) WHERE {m.sql_filled('x.option')} IS NOT NULL)"
 SQL = {
-    "dup_within": m.BASE + _G + f"SELECT a.node_id, a.entry_id AS a, b.entry_id AS b FROM g a JOIN g b ON a.node_id = b.node_id AND a.entry_id < b.entry_id AND {_ALIKE}",
-    "dup_cross": m.BASE + _G + _X,
-    "dup_cross_first": m.BASE + _G + _X + " ORDER BY 1, 2 LIMIT 5",
+    "dup_within": m.BASE + _G + _KW + _WITHIN,
+    "dup_cross": m.BASE + _G + _K + ", z AS (SELECT cls, count(*) AS entries, count(DISTINCT node_id) AS nodes FROM k GROUP BY cls), d AS (SELECT cls, count(*) AS links FROM (SELECT class_a AS cls FROM l UNION ALL SELECT class_b FROM l) GROUP BY cls) SELECT entry_id, cls AS first_entry, entries, nodes, coalesce(links, 0) AS links FROM k JOIN z USING (cls) LEFT JOIN d USING (cls) WHERE entries > 1 OR links > 0",
+    "dup_cross_links": m.BASE + _G + _K + "SELECT * FROM l",
+    "dup_cross_first": m.BASE + _G + _FIRST,
     "rejected_collision": m.BASE + REJECTED + f", g AS (SELECT id, option, {m.sql_grams('option')} AS g FROM rj) SELECT a.id || '|' || a.option AS key, b.id, min(b.option) AS option FROM g a JOIN g b ON a.id <> b.id AND {_ALIKE} GROUP BY 1, 2",
     "vector_topk": _S + " SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10",
     "vector_topk_distinct": _S + ", o AS (SELECT * FROM s WHERE node_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY node_id ORDER BY score DESC, id) = 1) SELECT node_id, id, round(score, 6) AS score, row_number() OVER (ORDER BY o.score DESC, id)::INT AS place FROM o QUALIFY place <= 10",
@@ -122,4 +139,4 @@ SQL = {
     "vector_reuse_delta": _R + " SELECT vec IS NOT NULL AND node_id IS NOT NULL AND coalesce(lane = expected, false) AS reused, count(*) AS records FROM r GROUP BY 1",
 }
 SQL = {name: m.quoted(s) for name, s in SQL.items()}
-QUERIES = {f.__name__: f for f in (dup_within, dup_cross, dup_cross_first, rejected_collision, vector_topk, vector_topk_distinct, vector_topk_by_lane, vector_filtered_backfill, embedding_topk, vector_norms, vector_reuse_delta)}
+QUERIES = {f.__name__: f for f in (dup_within, dup_cross, dup_cross_links, dup_cross_first, rejected_collision, vector_topk, vector_topk_distinct, vector_topk_by_lane, vector_filtered_backfill, embedding_topk, vector_norms, vector_reuse_delta)}

@@ -150,14 +150,21 @@ def import_bundle(spark: SparkSession, at: str) -> dict[str, DataFrame]:
 # Vectors
 
 
-def fake_vector(text: str, size: int, mode: str = "document") -> list[float]:
-    """A vector of length 1 that depends on the text alone: SHA-256 of a counter, mode and text, read as 16-bit integers."""
-    raw, k = b"", 0
-    while len(raw) < 2 * size:
-        raw += hashlib.sha256(f"{mode}\x00{k}\x00{text}".encode()).digest()
-        k += 1
-    v = np.frombuffer(raw[: 2 * size], ">i2").astype(np.float64) / 32768
-    return (v / np.linalg.norm(v)).astype(np.float32).tolist() if v.any() else [1.0] + [0.0] * (size - 1)
+#: What the deterministic embedder's seed begins with; another one gives other vectors.
+FAKE = "anchorlake-fake-v1"
+
+
+def fake_vector(text: str, size: int, mode: str = "document", name: str = FAKE) -> list[float]:
+    """A vector of length 1 that depends on its arguments alone.
+
+    The seed is the SHA-256 of name, mode and text with NULs between; each block is the SHA-256 of the seed and a 64-bit counter,
+    read as little-endian 16-bit integers over 32,768.
+    """
+    seed = hashlib.sha256(f"{name}\x00{mode}\x00{text}".encode()).digest()
+    raw = b"".join(hashlib.sha256(seed + struct.pack("<Q", k)).digest() for k in range(-(-2 * size // 32)))
+    v = (np.frombuffer(raw[: 2 * size], "<i2").astype(np.float32) / np.float32(32768)).astype(np.float32)
+    norm = float((v.astype(np.float64) ** 2).sum())
+    return (v * np.float32(1 / np.sqrt(norm))).tolist() if norm else [1.0] + [0.0] * (size - 1)
 
 
 def embed(texts: DataFrame, size: int, mode: str = "document") -> DataFrame:

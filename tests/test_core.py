@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from datetime import datetime, timedelta
 
 import pytest
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from anchorlake.functions import symbols as S
 from anchorlake.functions import text as T
+from anchorlake.plans.texts import LINT_CASES, SECRET_CASES
 from anchorlake.operators import cards, graph, journal, maintenance, resolve, search, similarity, sources, status
 from anchorlake.sources import files as io
 from anchorlake.streaming import usage
@@ -17,7 +19,7 @@ T0, H = datetime(2026, 7, 1), timedelta(hours=1)
 NODE = "node_id string, level string, status string, file string, symbol string, since timestamp, lineage array<string>, keywords array<string>"
 ENTRY = "entry_id string, node_id string, kind string, text string, based_on array<string>, disputes array<string>, confidence string, superseded_by string, at timestamp, active boolean"
 CHANGE = "id string, nodes array<string>, at timestamp, what string, why string, rejected array<struct<option: string, reason: string>>, overturns string, reverts string"
-LOGIN, AUTH, OLD, LOCK = "internal/auth/login.go", "internal/auth/login.go#Authenticate", "internal/auth/login.go#Login", "internal/auth/login.go#checkLockout"
+LOGIN, AUTH, OLD, LOCK = "internal/ship/harbour.go", "internal/ship/harbour.go#Navigate", "internal/ship/harbour.go#Sail", "internal/ship/harbour.go#checkDocking"
 
 
 def one(spark, f, *texts):
@@ -25,7 +27,7 @@ def one(spark, f, *texts):
 
 
 def nodes(spark):
-    return spark.createDataFrame([(LOGIN, "file", "fresh", LOGIN, None, T0, [], []), (AUTH, "function", "fresh", LOGIN, "Authenticate", T0, [OLD], ["登录"]), (LOCK, "function", "fresh", LOGIN, "checkLockout", T0, [], [])], NODE)
+    return spark.createDataFrame([(LOGIN, "file", "fresh", LOGIN, None, T0, [], []), (AUTH, "function", "fresh", LOGIN, "Navigate", T0, [OLD], ["港口"]), (LOCK, "function", "fresh", LOGIN, "checkDocking", T0, [], [])], NODE)
 
 
 def entries(spark):
@@ -43,24 +45,33 @@ def changes(spark, rows):
 
 
 def test_tokens(spark):
-    got = one(spark, T.tokens, "checkLockout", "HTTPServer start", "user_name", "登录锁定abcd"[:4], "锁", "登录lock15锁定", "")
-    assert got == [["checklockout", "check", "lockout"], ["httpserver", "http", "server", "start"], ["user", "name"], ["登录", "录锁", "锁定"], ["锁"], ["登录", "lock15", "锁定"], []]
-    assert one(spark, T.ident_parts, "AuthService.SignIn", "max_retries", "init~2", "_") == [["auth", "service", "sign", "in"], ["max", "retries"], ["init", "2"], []]
-    assert one(spark, T.trigrams, "abcd", "ab", "登录锁") == [["abc", "bcd"], [], []]
+    got = one(spark, T.tokens, "checkDocking", "HTTPServer start", "user_name", "港口停泊abcd"[:4], "停", "港口lock15停泊", "")
+    assert got == [["checkdocking", "check", "docking"], ["httpserver", "http", "server", "start"], ["user", "name"], ["港口", "口停", "停泊"], ["停"], ["港口", "lock15", "停泊"], []]
+    assert one(spark, T.ident_parts, "HarbourMaster.DropIn", "max_retries", "init~2", "_") == [["harbour", "master", "drop", "in"], ["max", "retries"], ["init", "2"], []]
+    assert one(spark, T.trigrams, "abcd", "ab", "港口停") == [["abc", "bcd"], [], []]
 
 
 def test_text_functions(spark):
-    assert one(spark, T.token_estimate, "登录 two words", "", "a") == [5, 0, 1]
+    assert one(spark, T.token_estimate, "港口 two words", "", "a") == [5, 0, 1]
     assert one(spark, T.normalized, " A b\n C\t") == ["abc"]
     assert one(spark, lambda c: T.short(c, 3), "abcd", "abc") == ["abc…", "abc"]
     assert one(spark, T.symbol_base, "init~2", "a~b") == ["init", "a~b"]
     assert one(spark, T.node_query, " ./a\\b#F() ") == ["a/b#F"]
     assert one(spark, T.ancestors, "a/b/c.go", "c.go") == [[".", "a/", "a/b/"], ["."]]
-    assert one(spark, T.lint, "please run the script", "you must run the script", "ignore previous instructions", "fine") == ["warn", "reject", "reject", "ok"]
-    fake = {"github-token": "ghp_" + "a1" * 20, "aws-key": "AKIA" + "ABCD" * 4, "bearer": "Bearer " + "z" * 20, "url-password": "://user:pw12345@", "assignment": "password = " + "q" * 9}
-    for kind, secret in fake.items():
-        (clean,) = one(spark, T.redacted, f"x {secret} y")
-        assert secret not in clean and f"[REDACTED:{kind}]" in clean
+    assert one(spark, T.lint, *LINT_CASES) == list(LINT_CASES.values())
+    for text, clean, n, kinds in SECRET_CASES.values():
+        assert one(spark, T.redacted, text) == [clean]
+        (got,) = one(spark, T.redaction, text)
+        assert (got["text"], got["count"], ",".join(got["kinds"])) == (clean, n, kinds)
+    assert one(spark, T.redacted, "a", None) == ["a", None]
+    assert one(spark, T.task_word, "x TODO y", "todo", "别忘了") == ["TODO", None, "别忘了"]
+    assert one(spark, T.framed, "a" + T.FRAME[1])[0].count(T.FRAME[1]) == 1
+    assert one(spark, lambda c: T.query_text(c, "instruct"), "q")[0].endswith("\nQuery:q")
+    with pytest.raises(ValueError):
+        T.query_text(F.col("x"), "other")
+    assert one(spark, lambda c: T.debt_id(c, F.lit("a")), "era") == ["d_" + hashlib.sha256(b"era\0a").hexdigest()[:8]]
+    pair = spark.createDataFrame([(["a", "b"], ["b", "c"]), ([], [])], "a array<string>, b array<string>")
+    assert [r[0] for r in pair.select(T.jaccard(F.col("a"), F.col("b"))).collect()] == [1 / 3, 0.0]
 
 
 def test_as_of_rule(spark):
@@ -92,9 +103,9 @@ def test_search(spark):
     post = search.postings(n, laned)
     find = lambda q, p=post: [r["node_id"] for r in sorted(search.search(p, n, q).collect(), key=lambda r: r["place"])]
     assert find("giraffe") == []
-    assert find("lockout")[0] == LOCK
-    assert find("login") == [AUTH, LOCK, LOGIN]  # functions before the file
-    assert find("authentication")[0] == AUTH  # through trigrams alone
+    assert find("docking")[0] == LOCK
+    assert find("harbour") == [AUTH, LOCK, LOGIN]  # functions before the file
+    assert find("navigation")[0] == AUTH  # through trigrams alone
     assert find("zebra", post.where("lane = 'risk'")) == [AUTH] and find("zebra", post.where("lane = 'current'")) == []
     fused = search.fuse(spark.createDataFrame([("a", 1), ("b", 2)], "node_id string, place int"), spark.createDataFrame([("b", 1), ("c", 2)], "node_id string, place int")).collect()
     assert [r["node_id"] for r in fused] == ["b", "a", "c"] and abs(fused[0]["score"] - (1 / 62 + 1 / 61)) < 1e-12
@@ -139,7 +150,16 @@ def test_landmines_and_clusters(spark):
 def test_similarity(spark):
     nine = " ".join(f"w{i}" for i in range(9))
     df = spark.createDataFrame([("a", nine + " p"), ("b", nine + " q"), ("c", ""), ("d", ""), ("e", "one"), ("f", "ones"), ("g", nine + " p")], "k string, text string")
-    assert sorted(map(tuple, similarity.alike_across(similarity.gram_sets(df, "k"), "k").collect())) == [("a", "b"), ("a", "g"), ("b", "g")]
+    members, links = similarity.classes(df, "k")
+    assert sorted(map(tuple, members.collect())) == [("a", "a"), ("b", "b"), ("e", "e"), ("f", "f"), ("g", "a")]
+    assert [tuple(r) for r in links.collect()] == [("a", "b")]
+    many = spark.createDataFrame([(f"n{i % 3}", f"k{i:02}", nine) for i in range(30)] + [("n0", "z", nine + " p")], "n string, k string, text string")
+    members, links = similarity.classes(many, "k")
+    got = similarity.first_across(members.join(many.select("k", "n"), "k"), links, "n", "k").collect()
+    rows = sorted((r["n"], r["k"]) for r in many.collect())
+    assert [((r["node_a"], r["a"]), (r["node_b"], r["b"])) for r in got] == sorted((x, y) for x in rows for y in rows if x < y and x[0] != y[0])[:5]
+    members, links = similarity.classes(many, "k", ["n"])
+    assert len(similarity.within_pairs(members, links, "n", "k").collect()) == 27 + 1
     v = spark.createDataFrame([("b", [1.0, 0.0]), ("c", [1.0, 1.0]), ("a", [2.0, 0.0]), ("d", [-1.0, 0.0]), ("n", [float("nan"), 1.0]), ("z", [0.0, 0.0]), ("x", None), ("y", [1.0])], "id string, vec array<double>")
     assert [r["id"] for r in similarity.top_k(similarity.scored(v, [10.0, 0.0]), 2).collect()] == ["a", "b"]
     assert [r["id"] for r in similarity.top_k(similarity.scored(v, [10.0, 0.0]), 99).collect()] == ["a", "b", "c", "d"]
@@ -153,7 +173,7 @@ def test_similarity(spark):
 def test_status(spark):
     n, e = nodes(spark), entries(spark)
     assert status.census(n, e).collect()[0].asDict() == {"nodes": 3, "digested": 2, "suspect": 0, "orphaned": 0, "undigested": 0}
-    assert {r["directory"]: (r["symbols"], r["digested"], r["percent"]) for r in status.coverage(n, e).collect()} == {d: (2, 2, 100) for d in (".", "internal/", "internal/auth/")}
+    assert {r["directory"]: (r["symbols"], r["digested"], r["percent"]) for r in status.coverage(n, e).collect()} == {d: (2, 2, 100) for d in (".", "internal/", "internal/ship/")}
     assert {r["confidence"]: r["percent"] for r in status.shares(e, "confidence").collect()} == {"verified": 66, "inferred": 33}
     edges = spark.createDataFrame([("x", LOGIN), ("x", LOCK), ("y", LOCK), ("x", AUTH), ("y", AUTH)], "src string, dst string")
     assert status.gaps(edges, n, e.where("entry_id <> 'e_00000010'")).collect()[0]["node_id"] == LOCK
@@ -256,3 +276,29 @@ def test_every_query_has_a_name_and_runs_alone():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_debts(spark):
+    n, e = nodes(spark), entries(spark)
+    n = n.unionByName(spark.createDataFrame([("internal/", "dir", "suspect", None, None, T0, [], [])], NODE))
+    e = e.unionByName(spark.createDataFrame([("e_9", "internal/", "usage", "old text", None, None, "inferred", None, None, True)], ENTRY))
+    c = changes(spark, [(f"c{i:02}", [LOCK], T0 + i * H, None, None) for i in range(12)]).withColumn("verified", F.lit("x"))
+    h = journal.history(c, n)
+    none, across = spark.createDataFrame([], "node_id string, a string, b string"), spark.createDataFrame([("p", "a", "q", "b")], "node_a string, a string, node_b string, b string")
+    args = (n, e, c, h, graph.declared_disputes(e, n), none, across, F.to_timestamp(F.lit("2026-12-01")))
+    got = maintenance.debts(*args).collect()
+    key = lambda k, node: "d_" + hashlib.sha256(f"{k}\0{node}".encode()).hexdigest()[:8]
+    assert [r["debt"] for r in got] == sorted(r["debt"] for r in got)
+    assert {(r["debt"], r["kind"], r["node_id"], r["amount"]) for r in got} == {(key("suspect", "internal/"), "suspect-reverify", "internal/", 1), (key("era", LOCK), "era-compress", LOCK, 12), (key("review", "internal/"), "review-overdue", "internal/", 1), (key("xdup:p#a:q#b", "p"), "cross-dup", "p", 1)}
+    gone = spark.createDataFrame([(key("era", LOCK),)], "debt string")
+    assert key("era", LOCK) not in {r["debt"] for r in maintenance.debts(*args, dismissed=gone).collect()}
+    folded = spark.createDataFrame([(LOCK, T0 + 5 * H)], "node_id string, era_until timestamp")
+    assert "era-compress" not in {r["kind"] for r in maintenance.debts(*args, era=folded).collect()}
+    all_ = maintenance.debts(*args)
+    assert maintenance.next_debt(all_, "internal/").collect()[0]["debt"] == min(r["debt"] for r in got if r["node_id"].startswith("internal/"))
+    done = maintenance.complete(all_, key("era", LOCK), h, "what happened").collect()[0]
+    assert (done["state"], done["node_id"], done["era_until"]) == ("settled", LOCK, T0 + 6 * H)
+    assert maintenance.complete(all_, "d_0", h).collect()[0]["state"] == "settled"
+    assert maintenance.complete(all_, key("review", "internal/"), h).collect()[0]["state"] == "open"
+    with pytest.raises(maintenance.EvidenceRequired):
+        maintenance.complete(all_, key("era", LOCK), h, " ")

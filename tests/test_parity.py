@@ -10,7 +10,7 @@ import pytest
 from anchorlake.plans import registry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["p1_found", "p1_by_period", "p3_found", "p3_descendants", "tokenize_terms", "split_ident", "change_history_asof", "landmine_score", "open_disputes", "dup_cross", "vector_topk_by_lane", "coverage_rollup", "status_census", "session_ledger", "upper_median", "eval_recall_mrr", "reconcile_status", "interface_division", "kb_map"]
+NAMES = ["p1_found", "p1_by_period", "p3_found", "p3_descendants", "tokenize_terms", "split_ident", "change_history_asof", "landmine_score", "open_disputes", "dup_cross", "redaction_cases", "lint_cases", "debts_all", "vector_topk_by_lane", "coverage_rollup", "status_census", "session_ledger", "upper_median", "eval_recall_mrr", "reconcile_status", "interface_division", "kb_map"]
 
 
 def plain(v):

@@ -9,7 +9,7 @@ from anchorlake.functions import values as V
 def test_columns(spark):
     df = spark.createDataFrame([("verified", 500, "function", "chg_20240407T093123Z_61d51402ddaee8cb", ["a#x", "b#y", "a#w"], "a", "0123456789" * 3)], "c string, t int, l string, i string, e array<string>, f string, s string")
     r = df.select(V.demoted(F.col("c")), V.over_budget(F.col("t"), F.col("l")), V.change_id(F.col("i")), V.shown_edges(F.col("e"), F.col("f"), 2), V.compact(F.col("s"), 17), V.short_id(F.col("i"))).collect()[0]
-    assert tuple(r) == ("inferred", True, True, "w, x, total 3", "012345678 ... 789", "chg_20240407")
+    assert tuple(r) == ("inferred", "reject", True, "w, x, total 3", "012345678 ... 789", "chg_20240407")
     bad = spark.createDataFrame([("chg_20241307T093123Z_61d51402ddaee8cb",), ("x",)], "i string")
     assert [x[0] for x in bad.select(V.change_id(F.col("i"))).collect()] == [False, False]
 
