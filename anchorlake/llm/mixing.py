@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from anchorlake.common import keep
+from anchorlake.common import keep, release
 
 #: Ranks fall into so many buckets, of which only the one that the target falls into is sorted.
 BUCKETS = 65_536
-#: The first pass takes documents up to the goal; the others fill what is missing with documents that still fit.
-PASSES = 4
 _UNIT = float(2**53)
 
 
@@ -38,6 +36,21 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     return has.withColumn("goal", F.coalesce(F.least(F.col("_share") * whole, F.col("_most").cast("double")), F.lit(0.0))).drop("_share", "_most")
 
 
+def inclusion(docs: DataFrame, rest: DataFrame) -> DataFrame:
+    """``source, factor``: a document of size t is to be included with probability min(1, factor x t), so that ``rest`` is the
+    expected size of what is included.
+
+    Sizes from some size on are certain. That size is found from sums over the distinct sizes of a source, from the greatest down.
+    """
+    t, n = F.col("tokens").cast("double"), F.col("_n").cast("double")
+    per = docs.groupBy("source", "tokens").agg(F.count("*").alias("_n")).join(rest, "source")
+    down = W.partitionBy("source").orderBy(F.desc("tokens"))
+    above = F.coalesce(F.sum(n * t).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    below = F.sum(n * t * t).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    sums = per.withColumn("_f", (F.col("rest") - above) / below)
+    return sums.where((F.col("_f") >= 0) & (F.col("_f") * t <= 1 + 1e-12)).groupBy("source").agg(F.max_by("_f", "tokens").alias("factor"))
+
+
 def _take(ranked: DataFrame, rest: DataFrame, key: str) -> DataFrame:
     """Rows of each source in the order of their ranks while their tokens add up to no more than ``rest``."""
     per = ranked.groupBy("source", "bucket").agg(F.sum("tokens").alias("n")).join(rest, "source")
@@ -51,36 +64,59 @@ def _take(ranked: DataFrame, rest: DataFrame, key: str) -> DataFrame:
     return marked.where("_upto <= rest").select(*cols).unionByName(last.select(*cols))
 
 
+def _fill(left: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> list[DataFrame]:
+    """What still fits after the sample was cut: of each source the greatest document that does, again and again until none fits.
+
+    ``rest`` is what a source lacks, less than one document of its own. Each round is one aggregate over the documents that fit;
+    as the greatest is taken, few rounds do.
+    """
+    out = []
+    left = keep(left.join(taken.select(key), key, "left_anti").join(rest, "source").where("tokens <= rest").select(key, "source", "tokens"))
+    while True:
+        best = keep(left.join(rest, "source").where("tokens <= rest").groupBy("source").agg(F.max(F.struct("tokens", key)).alias("_m")).select("source", "_m.*"))
+        if best.isEmpty():
+            release(best), release(left)
+            return out
+        out.append(best.select(key, "source", "tokens"))
+        rest = keep(rest.join(best.select("source", F.col("tokens").alias("_got")), "source").select("source", (F.col("rest") - F.col("_got")).alias("rest")))
+        nxt = keep(left.join(rest, "source").where("tokens <= rest").select(key, "source", "tokens").join(best.select(key), key, "left_anti"))
+        release(left)
+        left = nxt
+
+
 def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """The mixture (``key, source, tokens, copies``; copies at least 1) and its report per target source.
 
     ``docs`` has ``key``, ``source`` and ``tokens``, one row per document; ``targets`` has ``source``, ``weight`` and
     ``max_repeats``. Sources that aren't targets, null sources and documents of no tokens aren't used. Each document of a source
-    is taken floor(goal / available) times for certain; for the rest, documents are ranked by random odds over inclusion odds
-    (Pareto order sampling) and taken from the first while they fit the goal in tokens; what then is missing is filled in the same
-    way with the documents after that still fit it. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report
-    has ``source, weight, max_repeats, available, goal, tokens, documents, share``; sources that give nothing have share 0.
+    is taken floor(goal / available) times for certain. What then is missing is a sample of the source's documents, one more copy
+    of each: the chance of a document is in proportion to its tokens (1 for those so long that it would be more), documents are
+    ranked by random odds over the odds of their inclusion (Pareto order sampling), and the sample ends where its tokens reach what
+    is missing. So its size in tokens is fixed, short by less than one document; that is filled with documents that still fit,
+    until none does. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report has
+    ``source, weight, max_repeats, available, goal, tokens, documents, share``; sources that give nothing have share 0.
 
-    Of a source of any size only sums per bucket of ranks and the rows of one bucket in 65,536 are sorted in one task.
+    Of a source of any size only sums per size and per bucket of ranks, and the rows of one bucket in 65,536, are sorted in one
+    task.
     """
     docs = docs.select(key, "source", "tokens").where(F.col("source").isNotNull() & (F.col("tokens") > 0) & F.col(key).isNotNull())
     sizes = docs.groupBy("source").agg(F.sum("tokens").alias("tokens"))
     plan = keep(plan_shares(sizes, targets, total))
-    few = plan.where("goal > 0").select("source", "max_repeats", "goal", F.floor(F.col("goal") / F.col("available")).alias("certain"), (F.col("goal") - F.floor(F.col("goal") / F.col("available")) * F.col("available")).alias("rest"), "available")
-    u, p = uniform(F.col(key), seed), F.col("rest") / F.col("available")
+    certain = F.floor(F.col("goal") / F.col("available"))
+    few = plan.where("goal > 0").select("source", "max_repeats", certain.alias("certain"), (F.col("goal") - certain * F.col("available")).alias("rest"))
+    rest = keep(few.where("rest > 0 AND certain < max_repeats").select("source", "rest"))
+    factor = keep(inclusion(docs, rest))
     # One row per target source: the targets are a list made by hand; its size is checked by Spark's own broadcast threshold.
-    ranked = docs.join(few, "source").withColumn("rank", F.when(F.col("rest") > 0, (u / (1 - u)) / (p / (1 - p)))).withColumn("bucket", F.floor(F.col("rank") / (F.col("rank") + 1 / (p / (1 - p))) * BUCKETS))
-    ranked = keep(ranked)
-    taken, left, rest = None, ranked.where("rest > 0").select(key, "source", "tokens", "rank", "bucket"), few.select("source", "rest")
-    for k in range(PASSES):
-        got = _take(left, rest, key)
-        if k + 1 < PASSES:
-            got = keep(got)
-        taken = got if taken is None else taken.unionByName(got)
-        if k + 1 < PASSES:
-            rest = keep(rest.join(got.groupBy("source").agg(F.sum("tokens").alias("_got")), "source", "left").select("source", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("rest")))
-            left = left.join(got.select(key), key, "left_anti").join(rest, "source").where("tokens <= rest").drop("rest")
-    out = ranked.join(taken.select(key, F.lit(1).alias("more")), key, "left")
+    u, p = uniform(F.col(key), seed), F.least(F.col("factor") * F.col("tokens"), F.lit(1.0))
+    odds = F.when(p < 1, p / (1 - p))
+    rank = F.when(odds.isNull(), F.lit(0.0)).otherwise((u / (1 - u)) / odds)
+    ranked = keep(docs.join(factor, "source").withColumn("rank", rank).select(key, "source", "tokens", "rank", F.floor(F.col("rank") / (F.col("rank") + 1) * BUCKETS).alias("bucket")))
+    taken = keep(_take(ranked, rest, key))
+    lack = keep(rest.join(taken.groupBy("source").agg(F.sum("tokens").alias("_got")), "source", "left").select("source", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("rest")))
+    more = taken.select(key)
+    for filled in _fill(ranked, taken, lack, key):
+        more = more.unionByName(filled.select(key))
+    out = docs.join(few, "source").join(more.select(key, F.lit(1).alias("more")), key, "left")
     out = out.select(key, "source", "tokens", F.least(F.col("certain") + F.coalesce("more", F.lit(0)), F.col("max_repeats")).cast("long").alias("copies")).where("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"))
     report = plan.join(got, "source", "left").fillna(0, ["tokens", "documents"])

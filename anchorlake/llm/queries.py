@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from anchorlake.common import filled, keep, records, table, trim
 from anchorlake.llm import mixing, near_duplicates, parsing, percentiles, pieces, tokens, vectors
@@ -64,8 +65,8 @@ def p5_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per run, ``kind`` and ``mode`` trimmed and lower case, null where blank."""
-    got = records(table(spark, sf_dir, "eval_results"), "run_id", ["kind", "mode", "total_tokens", "started_at"])
-    return got.select(F.lower(filled("kind")).alias("kind"), F.lower(filled("mode")).alias("mode"), F.to_date("started_at").cast("string").alias("day"), "total_tokens")
+    got = records(table(spark, sf_dir, "eval_results"), "run_id", ["task", "kind", "mode", "total_tokens", "started_at"])
+    return got.select("task", F.lower(filled("kind")).alias("kind"), F.lower(filled("mode")).alias("mode"), F.to_date("started_at").cast("string").alias("day"), "total_tokens")
 
 
 def p7_daily_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,23 +78,34 @@ def p7_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentiles of ``total_tokens`` per kind and mode, for each day and, out of the days' sketches, for all days (day 'all')."""
     days = keep(percentiles.sketch(runs(spark, sf_dir), "total_tokens", ["kind", "mode", "day"]))
     whole = percentiles.merge(days, ["kind", "mode"]).withColumn("day", F.lit("all"))
-    out = percentiles.percentiles(days.unionByName(whole), ["kind", "mode", "day"], QUANTILES)
-    return out.select("kind", "mode", "day", "n", *[F.round(q, 0).cast("long").alias(q) for q in QUANTILES])
+    return percentiles.percentiles(days.unionByName(whole), ["kind", "mode", "day"], QUANTILES)
+
+
+def p7_task_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same per task, kind and mode over all days."""
+    return percentiles.percentiles(percentiles.sketch(runs(spark, sf_dir), "total_tokens", ["task", "kind", "mode"]), ["task", "kind", "mode"], QUANTILES)
+
+
+def p7_within_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind and mode, how many of its percentiles lie within one per cent of the exact ones, which are found by sorting all runs."""
+    got = p7_percentiles(spark, sf_dir).where("day = 'all'")
+    exact = percentiles.exact(runs(spark, sf_dir), "total_tokens", ["kind", "mode"], QUANTILES)
+    both = got.alias("a").join(exact.alias("b"), F.equal_null("a.kind", "b.kind") & F.equal_null("a.mode", "b.mode"))
+    fine = sum((F.abs(F.col(f"a.{q}") - F.col(f"b.{q}")) <= percentiles.ERROR * F.abs(F.col(f"b.{q}"))).cast("long") for q in QUANTILES)
+    return both.select("a.kind", "a.mode", "a.n", fine.alias("within"), *[F.col(f"b.{q}").alias(q) for q in QUANTILES])
 
 
-_GAMMA = (1 + percentiles.ERROR) / (1 - percentiles.ERROR)
 _SKETCH = f"""
-WITH r AS (SELECT run_id, arg_max(s, loaded_at) AS s FROM (SELECT run_id, {{'kind': kind, 'mode': mode, 't': total_tokens, 'at': started_at}} AS s, loaded_at FROM eval_results) GROUP BY run_id),
-v AS (SELECT lower(nullif(trim(s.kind, E' \\t\\r\\n'), '')) AS kind, lower(nullif(trim(s.mode, E' \\t\\r\\n'), '')) AS mode, s.at::DATE::VARCHAR AS day, s.t AS t FROM r WHERE s.t IS NOT NULL),
-b AS (SELECT *, CASE WHEN t = 0 THEN 0 ELSE sign(t) * (ceil(round(ln(abs(t)) / ln({_GAMMA!r}::DOUBLE), 9))::BIGINT + 1000000) END AS bucket FROM v),
-k AS (SELECT kind, mode, day, bucket, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT kind, mode, 'all', bucket, count(*) FROM b GROUP BY ALL),
-w AS (SELECT *, sum(n) OVER (PARTITION BY kind, mode, day ORDER BY bucket ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY kind, mode, day) AS total FROM k)
+WITH r AS (SELECT run_id, arg_max(s, loaded_at) AS s FROM (SELECT run_id, {{'task': task, 'kind': kind, 'mode': mode, 't': total_tokens, 'at': started_at}} AS s, loaded_at FROM eval_results) GROUP BY run_id),
+v AS (SELECT s.task AS task, lower(nullif(trim(s.kind, E' \\t\\r\\n'), '')) AS kind, lower(nullif(trim(s.mode, E' \\t\\r\\n'), '')) AS mode, s.at::DATE::VARCHAR AS day, s.t AS t FROM r WHERE s.t IS NOT NULL)
 """
+#: Buckets are told from their borders alone: the least k whose border reaches the value.
+_BORDER = "(101.0::DOUBLE / 99.0::DOUBLE)"
 
 
-def _picked(q: float) -> str:
-    at = f"min(bucket) FILTER (WHERE upto > floor({q} * (total - 1)))"
-    return f"(CASE WHEN {at} = 0 THEN 0 ELSE round(sign({at}) * exp((abs({at}) - 1000000) * ln({_GAMMA!r}::DOUBLE)) * {2 / (1 + _GAMMA)!r}) END)::BIGINT"
+def _exact(q: float, by: str) -> str:
+    """The value of rank floor(q (n - 1)), by sorting."""
+    return f"list_sort(list(t))[(floor({q} * (count(*) - 1)) + 1)::BIGINT]"
 
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,11 +113,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"))
 
 
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "mix_targets").withColumn("source", F.lower(filled("source")))
+
+
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(table(spark, sf_dir, "documents").withColumn("source", F.lower(filled("source"))), ["doc_id", "source"])
+
+
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The documents' sizes are written once, as the mixture reads them several times."""
-    targets = table(spark, sf_dir, "mix_targets").withColumn("source", F.lower(filled("source")))
-    sized = tokens.token_counts(table(spark, sf_dir, "documents").withColumn("source", F.lower(filled("source"))), ["doc_id", "source"])
-    return mixing.mixture(keep(sized), targets)
+    return mixing.mixture(keep(_sized(spark, sf_dir)), _targets(spark, sf_dir))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,6 +136,19 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mixture(spark, sf_dir)[1]
 
 
+def p9_share_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source its weight, scaled to the sources that have documents, and whether it has its share: not more than its goal, and
+    so much that no further copy of any of its documents fits."""
+    sized = keep(_sized(spark, sf_dir))
+    out, report = mixing.mixture(sized, _targets(spark, sf_dir))
+    has = F.col("available") > 0
+    scaled = F.when(has, F.col("weight")) / F.sum(F.when(has, F.col("weight"))).over(W.partitionBy(F.lit(0)))
+    report = keep(report.withColumn("wanted", F.coalesce(scaled, F.lit(0.0))).withColumn("lack", F.col("goal") - F.col("tokens")).withColumn("certain", F.floor(F.try_divide("goal", "available"))))
+    copies = sized.where("tokens > 0").join(out.select("doc_id", "copies"), "doc_id", "left").join(report.select("source", "lack", "certain", "max_repeats"), "source")
+    fits = copies.where("tokens <= lack AND coalesce(copies, 0) = certain AND certain < max_repeats").groupBy("source").agg(F.count("*").alias("fits"))
+    return report.join(fits, "source", "left").select("source", F.round("wanted", 9).alias("wanted"), ((F.col("lack") >= -1e-6) & F.col("fits").isNull()).alias("reached"))
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of more than 2,000 tokens: those that the splitting operator cuts."""
     return pieces.split_oversized(table(spark, sf_dir, "documents"), with_text=False).where("piece = 0").select("doc_id")
@@ -128,7 +159,7 @@ def p10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.split_oversized(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_daily_sketches": p7_daily_sketches, "p7_percentiles": p7_percentiles, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_pieces": p10_pieces}
+QUERIES = {"p2_found": p2_found, "p2_repairs": p2_repairs, "p2_rates": p2_rates, "p4_found": p4_found, "p5_found": p5_found, "p5_classes": p5_classes, "p7_daily_sketches": p7_daily_sketches, "p7_percentiles": p7_percentiles, "p7_task_percentiles": p7_task_percentiles, "p7_within_bounds": p7_within_bounds, "p8_ids": p8_ids, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_share_check": p9_share_check, "p10_found": p10_found, "p10_pieces": p10_pieces}
 _WORDS = """
 WITH r AS (SELECT entry_id, arg_max(s, loaded_at) AS s FROM (SELECT entry_id, {'kind': kind, 'text': text} AS s, loaded_at FROM remember_entries) GROUP BY entry_id),
 e AS (SELECT entry_id, lower(trim(s.kind, E' \\t\\r\\n')) AS kind, list_distinct(regexp_extract_all(lower(s.text), '[a-z0-9]+|[\u4e00-\u9fff]')) AS w FROM r WHERE s.kind IS NOT NULL AND s.text IS NOT NULL),
@@ -146,6 +177,9 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t
 SQL = {
     "p4_found": _NEAR,
     "p5_found": _WORDS + "SELECT entry_a, entry_b FROM pairs WHERE n * 10 >= (m - n) * 7",
-    "p7_daily_sketches": _SKETCH + "SELECT kind, mode, day, bucket::BIGINT AS bucket, n FROM k WHERE day <> 'all'",
-    "p7_percentiles": _SKETCH + "SELECT kind, mode, day, sum(n)::BIGINT AS n, " + ", ".join(f"{_picked(q)} AS {name}" for name, q in QUANTILES.items()) + " FROM w GROUP BY kind, mode, day",
+    # A bucket k holds the values above border k - 1 up to border k; each value finds its bucket in a table of borders.
+    "p7_daily_sketches": _SKETCH
+    + f", g AS (SELECT k, pow({_BORDER}, k - 1) AS lo, pow({_BORDER}, k) AS hi FROM range(0, 2300) t(k)), b AS (SELECT kind, mode, day, t, CASE WHEN t = 0 THEN 0 ELSE sign(t) * (1000000 + k) END AS bucket FROM (SELECT kind, mode, day, t, greatest(abs(t), 1)::DOUBLE AS a FROM v) ASOF JOIN g ON a >= lo * (1 + 1e-12)) SELECT kind, mode, day, bucket::BIGINT AS bucket, count(*) AS n FROM b GROUP BY ALL",
+    "p9_share_check": "WITH t AS (SELECT lower(nullif(trim(source, E' \\t\\r\\n'), '')) AS source, max(weight) AS weight FROM mix_targets GROUP BY 1), d AS (SELECT DISTINCT lower(nullif(trim(source, E' \\t\\r\\n'), '')) AS source, true AS has FROM documents WHERE length(text) > 0) SELECT source, round(coalesce(CASE WHEN has THEN weight END / sum(CASE WHEN has THEN weight END) OVER (), 0), 9) AS wanted, true AS reached FROM t LEFT JOIN d USING (source)",
+    "p7_within_bounds": _SKETCH + "SELECT kind, mode, count(*) AS n, 6::BIGINT AS within, " + ", ".join(f"{_exact(q, 'kind, mode')} AS {name}" for name, q in QUANTILES.items()) + " FROM v GROUP BY kind, mode",
 }

@@ -39,13 +39,23 @@ def test_given_total_and_shortfall(spark):
     assert all(r["copies"] == 3 for r in got.values() if r["source"] == "b")
 
 
-def test_chances_are_even(spark):
-    docs = [(i, "a", 10, "") for i in range(400)]
-    n = [0] * 400
-    for seed in range(6):
-        for k in mixed(spark, docs, [("a", 1.0, 1)], total=2000, seed=seed)[0]:
-            n[k] += 1
-    assert sum(n) == 6 * 200 and 2.4 < sum(n[:200]) / 200 < 3.6
+def test_chances_follow_sizes(spark):
+    """200 sources of the same sizes are as many draws: how often a size is drawn is its chance, and each draw has its size in tokens."""
+    sizes = [10] * 120 + [20] * 80 + [40] * 40 + [700]
+    draws, goal = 200, 2000
+    docs = [(d * 1000 + i, f"s{d}", t, "") for d in range(draws) for i, t in enumerate(sizes)]
+    got, report = mixed(spark, docs, [(f"s{d}", 1 / draws, 1) for d in range(draws)], total=draws * goal)
+    # 700 is certain; what is missing, 1300, is shared out in proportion to size: factor = 1300 / sum of squares.
+    factor = 1300 / sum(t * t for t in sizes if t < 700)
+    assert abs(sum(min(1, factor * t) * t for t in sizes[:-1]) - 1300) < 1e-9
+    n = {t: 0 for t in (10, 20, 40, 700)}
+    for r in got.values():
+        n[r["tokens"]] += 1
+    assert n[700] == draws
+    for t in (10, 20, 40):
+        chance = n[t] / draws / sizes.count(t)
+        assert abs(chance - factor * t) < 0.08 * factor * t, (t, chance, factor * t)
+    assert all(1990 <= r["tokens"] <= 2000 for r in report.values())
 
 
 def test_empty(spark):
