@@ -122,8 +122,7 @@ def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The documents' sizes are written once, as the mixture reads them several times."""
-    return mixing.mixture(keep(_sized(spark, sf_dir)), _targets(spark, sf_dir))
+    return mixing.mixture(_sized(spark, sf_dir), _targets(spark, sf_dir))
 
 
 def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,7 +138,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_share_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source its weight, scaled to the sources that have documents, and whether it has its share: not more than its goal, and
     so much that no further copy of any of its documents fits."""
-    sized = keep(_sized(spark, sf_dir))
+    sized = _sized(spark, sf_dir)
     out, report = mixing.mixture(sized, _targets(spark, sf_dir))
     has = F.col("available") > 0
     scaled = F.when(has, F.col("weight")) / F.sum(F.when(has, F.col("weight"))).over(W.partitionBy(F.lit(0)))

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anchorlake.common import ship
+from anchorlake.common import keep, ship
 
 #: Texts of more code points are cut into pieces that are encoded in parallel.
 LONG = 32_768
@@ -172,59 +172,70 @@ def encode_corpus(df: DataFrame, key: str = "doc_id", text: str = "text", path:
     """``key`` and ``ids``, the ids of ``text`` without special tokens, a row for each row of ``df``.
 
     Null and empty texts get an empty list. Strings that look like special tokens are ordinary text. Repeated rows come back as
-    often; other columns are left out. Texts up to ``LONG`` are encoded where they are read, without a shuffle. Longer ones are
-    cut (see :meth:`Bpe.cuts`), their pieces are spread over all executors and encoded, and only the pieces that no blank or
-    pattern separates are joined with growing windows.
+    often; other columns are left out. Each text is read once and encoded where it is read if it has up to ``LONG`` characters.
+    Longer ones are cut there (see :meth:`Bpe.cuts`), their pieces are spread over all executors and encoded, and only the pieces
+    that no blank or pattern separates are joined with growing windows. The ids of one text are one row, so they meet in one task
+    at the end, which does no more than these joins.
+    """
+    return _encoded(df.select(F.col(key).alias("_k0"), F.col(text).alias("_text")), path, False).select(F.col("_k0").alias(key), "ids")
+
+
+def token_counts(df: DataFrame, cols: list[str], text: str = "text", path: str | None = None) -> DataFrame:
+    """``cols`` and ``tokens`` (long), the number of ids of ``text``; null and empty texts have 0. As :func:`encode_corpus`, without the ids."""
+    given = df.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(cols)], F.col(text).alias("_text"))
+    return _encoded(given, path, True).select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(cols)], "tokens")
+
+
+def _encoded(df: DataFrame, path: str | None, count_only: bool) -> DataFrame:
+    """Columns ``_k0``, ``_k1`` ... of ``df`` with ``ids`` or ``tokens`` of ``_text``.
+
+    One pass over the texts writes what is encoded already and, in a folder of its own, the pieces of long texts.
     """
     load = loader(df.sparkSession, path)
-    df = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    of = df.schema["key"].dataType.simpleString()
+    keys = [c for c in df.columns if c != "_text"]
+    of = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
+    result = "tokens long" if count_only else "ids array<int>"
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = load().bpe.encode_ordinary
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                yield pa.RecordBatch.from_arrays([part["key"], _lists([encode(t) if t else [] for t in part["text"].to_pylist()], pa.int32())], names=[key, "ids"])
+    def done(rows: list[list[int]]) -> pa.Array:
+        return pa.array([len(r) for r in rows], pa.int64()) if count_only else _lists(rows, pa.int32())
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, row = load(), TaskContext.get().partitionId() << 32
-        for b in batches:
-            for k, t in zip(b["key"], b["text"].to_pylist()):
-                row += 1
-                cuts = bpe.cuts(t)
-                n = len(cuts)
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()] * n, k.type), pa.array([row] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([c[0] for c in cuts], pa.binary()), pa.array([c[1] for c in cuts]), pa.array([c[2] for c in cuts])], names=["key", "row", "seq", "raw", "run", "more"])
+        encode = bpe.bpe.encode_ordinary
+        empty = pa.array([0], pa.int64()) if count_only else _lists([[]], pa.int32())
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                texts = b["_text"].to_pylist()
+                far = [bool(t) and len(t) > LONG for t in texts]
+                out = done([encode(t) if t and not x else [] for t, x in zip(texts, far)])
+                n = b.num_rows
+                cols = [*(b[c] for c in keys), out, *(pa.nulls(n, t) for t in (pa.int64(), pa.int32(), pa.binary(), pa.bool_(), pa.bool_())), pa.array([False] * n)]
+                near = pa.RecordBatch.from_arrays(cols, names=[*keys, result.split()[0], "row", "seq", "raw", "run", "more", "far"])
+                yield near.filter(pa.array([not x for x in far])) if any(far) else near
+                for i in (i for i, x in enumerate(far) if x):
+                    row += 1
+                    cuts = bpe.cuts(texts[i])
+                    m = len(cuts)
+                    kept = [pa.array([b[c][i].as_py()] * m, b[c].type) for c in keys]
+                    none = pa.array([None] * m, pa.int64()) if count_only else pa.nulls(m, empty.type)
+                    yield pa.RecordBatch.from_arrays([*kept, none, pa.array([row] * m, pa.int64()), pa.array(range(m), pa.int32()), pa.array([c[0] for c in cuts], pa.binary()), pa.array([c[1] for c in cuts]), pa.array([c[2] for c in cuts]), pa.array([True] * m)], names=near.schema.names)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load()
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b["key"], b["row"], b["seq"], b["more"], _lists([bpe.encode_cut(r, x) for r, x in zip(b["raw"].to_pylist(), b["run"].to_pylist())], pa.int32())], names=["key", "row", "seq", "more", "ids"])
+            ids = [bpe.encode_cut(r, x) for r, x in zip(b["raw"].to_pylist(), b["run"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(b[c] for c in keys), b["row"], b["seq"], b["more"], _lists(ids, pa.int32())], names=[*keys, "row", "seq", "more", "ids"])
 
     def glued(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load()
         for b in batches:
-            for k, parts in zip(b["key"], b["parts"]):
+            for k, parts in enumerate(b["parts"]):
                 ids = bpe.glue([(p["ids"], p["more"]) for p in parts.as_py()])
-                yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], k.type), _lists([ids], pa.int32())], names=[key, "ids"])
+                yield pa.RecordBatch.from_arrays([*(pa.array([b[c][k].as_py()], b[c].type) for c in keys), done([ids])], names=[*keys, result.split()[0]])
 
-    is_long = F.length("text") > LONG
-    near = df.where(F.coalesce(~is_long, F.lit(True))).mapInArrow(short, f"{key} {of}, ids array<int>")
-    far = df.where(is_long).mapInArrow(cut, f"key {of}, row long, seq int, raw binary, run boolean, more boolean").repartition("row", "seq").mapInArrow(pieces, f"key {of}, row long, seq int, more boolean, ids array<int>")
-    far = far.groupBy("key", "row").agg(F.array_sort(F.collect_list(F.struct("seq", "more", "ids"))).alias("parts")).select("key", "parts").mapInArrow(glued, f"{key} {of}, ids array<int>")
+    read = keep(df.mapInArrow(first, f"{of}, {result}, row long, seq int, raw binary, run boolean, more boolean, far boolean"), "far")
+    near = read.where("NOT far").select(*keys, result.split()[0])
+    far = read.where("far").select(*keys, "row", "seq", "raw", "run", "more").repartition("row", "seq").mapInArrow(pieces, f"{of}, row long, seq int, more boolean, ids array<int>")
+    far = far.groupBy(*keys, "row").agg(F.array_sort(F.collect_list(F.struct("seq", "more", "ids"))).alias("parts")).select(*keys, "parts").mapInArrow(glued, f"{of}, {result}")
     return near.unionByName(far)
-
-
-def token_counts(df: DataFrame, cols: list[str], text: str = "text", path: str | None = None) -> DataFrame:
-    """``cols`` and ``tokens`` (long), the number of ids of ``text``; null and empty texts have 0. No shuffle."""
-    load = loader(df.sparkSession, path)
-    df = df.select(*cols, F.col(text).alias("_text"))
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "_text")
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load()
-        for b in batches:
-            n = pa.array([len(bpe.encode(t)) for t in b["_text"].to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in cols), n], names=[*cols, "tokens"])
-
-    return df.mapInArrow(count, f"{shape}, tokens long")
