@@ -79,17 +79,15 @@ def fields_of(obj: dict) -> dict[tuple[str, ...], str]:
 def match_fields(gone: dict, come: dict, lone_only: bool = True) -> list[tuple]:
     """Pairs (old, new) of one parent's fields that are renames. ``gone`` and ``come``: field to type.
 
-    A pair must agree in a known type. ``lone_only``: exactly one gone and one come. Otherwise the matching of greatest total
-    name similarity over all pairs of one type, found by shortest augmenting paths.
+    Both versions' fields are matched one to one such that the total worth of the pairs is greatest (Hungarian method). A pair
+    has worth only if its types are known and equal, and the more, the more alike its names are. ``lone_only``: of the matching,
+    only a pair that has no other field beside it is a rename, whatever its names; otherwise a pair that has, needs like names.
     """
-    if lone_only and (len(gone) != 1 or len(come) != 1):
-        return []
-    if len(gone) == len(come) == 1:
-        (a, t), (b, u) = *gone.items(), *come.items()
-        return [(a, b)] if t and t == u else []
     rows, cols = sorted(gone), sorted(come)
-    worth = [[difflib.SequenceMatcher(None, str(a), str(b)).ratio() if gone[a] and gone[a] == come[b] else -1.0 for b in cols] for a in rows]
-    return [(rows[i], cols[j]) for i, j in assign(worth) if worth[i][j] >= 0.5]
+    worth = [[1 + difflib.SequenceMatcher(None, a[-1], b[-1]).ratio() if gone[a] and gone[a] == come[b] else -1.0 for b in cols] for a in rows]
+    matched = [(rows[i], cols[j], worth[i][j]) for i, j in assign(worth) if worth[i][j] > 0]
+    lone = len(rows) == len(cols) == 1
+    return [(a, b) for a, b, w in matched if lone or (not lone_only and w >= 1.5)]
 
 
 def assign(worth: list[list[float]]) -> list[tuple[int, int]]:
@@ -210,21 +208,26 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "first": pa.array([first], pa.string()), "last": pa.array([stream], pa.string()), "whole": pa.array([from_start]), "paths": pa.array([paths], pa.list_(pa.string())), "types": pa.array([types], pa.list_(pa.string()))})
 
 
-def _carry(ends: list) -> dict[int, tuple[str | None, dict]]:
-    """Partition to (stream, known fields) at its start."""
-    out, stream, known = {}, None, None
+def _carry(ends: list) -> tuple[dict[int, tuple[str | None, int]], list[tuple]]:
+    """Partition to (stream, number of its state) at its start, and the states: known fields as (paths, types), each once.
+
+    Streams and partitions have few schemas between them, so what every task is given hardly grows with the partitions.
+    """
+    out, states, stream, known = {}, {}, None, None
     for r in sorted(ends, key=lambda r: r["part"]):
         if known is not None:
-            out[r["part"]] = (stream, known)
+            paths, types = _pack(known)
+            out[r["part"]] = (stream, states.setdefault((tuple(paths), tuple(types)), len(states)))
         before = known if known is not None and stream == r["first"] and r["whole"] else {}
         fields = {tuple(p.split(_SEP)): t for p, t in zip(r["paths"], r["types"])}
         stream, known = r["last"], {p: before.get(p, "") if t == _AS_BEFORE else t for p, t in fields.items()}
-    return out
+    return out, list(states)
 
 
-def _drifts(starts: dict, lone_only: bool, between: str):
+def _drifts(starts: dict, states: list, lone_only: bool, between: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream, known = starts.get(TaskContext.get().partitionId(), (None, None))
+        stream, at = starts.get(TaskContext.get().partitionId(), (None, None))
+        known = None if at is None else {tuple(p.split(_SEP)): t for p, t in zip(*states[at])}
         out = []
         for s, file_id, now in _files(batches):
             if known is not None and s == stream:
@@ -267,7 +270,7 @@ def drifts(files: DataFrame, lone_only: bool = True, parts: int | None = None, b
     order = [F.col(c).asc_nulls_first() for c in ("stream", "written_at", "file_id")]
     sorted_files = parsed.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint()
     ends = sorted_files.mapInArrow(_ends, "part int, first string, last string, whole boolean, paths array<string>, types array<string>").collect()
-    return sorted_files.mapInArrow(_drifts(_carry(ends), lone_only, between), "stream string, file_id long, field string, drift string, was string")
+    return sorted_files.mapInArrow(_drifts(*_carry(ends), lone_only, between), "stream string, file_id long, field string, drift string, was string")
 
 
 # One consistent table
@@ -474,21 +477,30 @@ def unify(v, path: str, to: dict[str, tuple[str, ...]], types: dict[tuple[str, .
     return _text(v) if types[to[path]] == "string" else v
 
 
-def _values(to: dict[str, tuple[str, ...]] | None, types: dict[tuple[str, ...], str]):
-    """Each file's top-level values as text, objects and arrays as JSON; their members unified if ``to`` has them."""
+def _table(to: dict[str, tuple[str, ...]] | None, types: dict[tuple[str, ...], str], at: dict[str, int], width: int):
+    """Each file's top-level values as text in the columns that ``at`` gives for their fields, objects and arrays as JSON; their
+    members unified if ``to`` has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), 50_000))  # as deep as the reader goes
         for b in batches:
-            rows = []
+            ids, rows = [], []
             for file_id, raw in zip(b["file_id"].to_pylist(), b["raw"].to_pylist()):
-                for name, v in (read_object(raw) or {}).items():
+                obj = read_object(raw)
+                if not obj:
+                    continue
+                row: list[str | None] = [None] * width
+                for name, v in obj.items():
+                    if v is None:
+                        continue
                     if to is not None:
-                        rows.append((file_id, name, _text(unify(v, _SEP + name, to, types))))
+                        row[at[name]] = _text(unify(v, _SEP + name, to, types))
                     else:
-                        rows.append((file_id, name, json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, (dict, list)) else _text(v)))
-            cols = list(zip(*rows)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *[pa.array(c, pa.string()) for c in cols[1:]]], names=["file_id", "field", "value"])
+                        row[at[name]] = json.dumps(v, ensure_ascii=False, sort_keys=True) if isinstance(v, (dict, list)) else _text(v)
+                ids.append(file_id)
+                rows.append(row)
+            cols = list(zip(*rows)) or [()] * width
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *[pa.array(c, pa.string()) for c in cols]], names=["file_id", *[f"c{k}" for k in range(width)]])
 
     return run
 
@@ -526,19 +538,21 @@ def unified(files: DataFrame, kind: str, nested: bool = False) -> DataFrame:
     for (p, f), at in seen.items():
         kinds.setdefault(to[p + _SEP + f], set()).update(at["types"])
     types = {path: column_type(k) for path, k in kinds.items()}
-    leaves = mine.select(F.col("file_id").cast("long").alias("file_id"), "raw").mapInArrow(_values(to if nested else None, types), "file_id long, field string, value string")
     wanted: dict[str, list[str]] = {}
     for p, f in seen:
         if not p and not (f.endswith("[]") and (p, f[:-2]) in seen):
             wanted.setdefault(to[_SEP + f][0], []).append(f)
-    taken, cols = {"file_id"}, []
-    for name, all_names in sorted(wanted.items()):
+    order = sorted(wanted)
+    at = {f: k for k, name in enumerate(order) for f in wanted[name]}
+    once = mine.where("raw IS NOT NULL").groupBy(F.col("file_id").cast("long").alias("file_id")).agg(F.max("raw").alias("raw"))
+    shape = ", ".join(["file_id long", *[f"c{k} string" for k in range(len(order))]])
+    rows = once.mapInArrow(_table(to if nested else None, types, at, len(order)), shape)
+    taken, cols = {"file_id"}, [F.col("file_id")]
+    for k, name in enumerate(order):
         shown = name
         while shown.lower() in taken:
             shown += "_"
         taken.add(shown.lower())
         t = types[name,]
-        cols.append(F.max(F.when(F.col("field").isin(all_names), F.col("value"))).try_cast("string" if t in ("object", "array") else t).alias(shown))
-    if not cols:
-        return leaves.groupBy("file_id").agg(F.count("*").alias("_n")).select("file_id")
-    return leaves.groupBy("file_id").agg(*cols)
+        cols.append(F.col(f"c{k}").try_cast("string" if t in ("object", "array") else t).alias(shown))
+    return rows.select(*cols)

@@ -133,8 +133,9 @@ def components(links: DataFrame, most_nodes: int = MOST_NODES) -> DataFrame:
     ring = now.where(~F.col("done")).select("id", "parent", F.col("parent").alias("to"), F.least("id", "parent").alias("low"))
     for _ in range(math.ceil(math.log2(open_now)) + 1):
         on = ring.select(F.col("id").alias("_i"), F.col("to").alias("_t"), F.col("low").alias("_l"))
-        ring = keep(ring.join(on, F.col("to") == F.col("_i")).select("id", "parent", F.col("_t").alias("to"), F.least("low", "_l").alias("low")))
-        kept.append(ring)
+        further = keep(ring.join(on, F.col("to") == F.col("_i")).select("id", "parent", F.col("_t").alias("to"), F.least("low", "_l").alias("low")))
+        release(ring)
+        ring = further
     # The jump now ends on the cycle for certain, and what that node passed is the whole cycle.
     on = ring.select(F.col("id").alias("_i"), F.col("low").alias("component"))
     looped = ring.join(on, F.col("to") == F.col("_i")).select("id", "parent", "component", F.lit(-1).cast("long").alias("depth"))
@@ -167,9 +168,13 @@ def _long_paths(known: DataFrame) -> DataFrame:
     """Paths of large components, by doubling: a path is the path of the node jumped to and the nodes jumped over."""
     start = F.when(F.col("depth") == -1, F.col("id") == F.col("component")).otherwise(False)
     now = known.select("id", "parent", F.col("component").alias("root_id"), "depth", F.when(start, F.array("id")).otherwise(F.array("parent", "id")).alias("path"), start.alias("closes_cycle"))
+    before = None
     while True:
         head = F.col("path")[0]
         now = keep(now)
+        if before is not None:
+            release(before)
+        before = now
         todo = now.where(head != F.col("root_id"))
         if todo.isEmpty():
             return now
@@ -178,18 +183,16 @@ def _long_paths(known: DataFrame) -> DataFrame:
         now = now.where(head == F.col("root_id")).unionByName(longer)
 
 
-def descendants(walked: DataFrame, cycles: bool = False) -> DataFrame:
+def descendants(walked: DataFrame) -> DataFrame:
     """``id``, ``descendant`` and ``distance`` (long) for all pairs on a path of :func:`hierarchy`.
 
-    A row for each pair: the descendants of a root that heads a third of all nodes never meet in one array. ``cycles``: also the
-    pairs of nodes that never reach a root (depth -1). The nodes of a cycle are each other's descendants, but not their own, and
-    all that hangs off the cycle descends from each of them; the distance is the number of links on the only way there that
-    passes no node twice. Without ``cycles`` these nodes give no row.
+    A row for each pair: the descendants of a root that heads a third of all nodes never meet in one array. ``walked`` is read
+    several times; make it a stored table. The nodes of a cycle are each other's descendants, but not their own, and all that
+    hangs off the cycle descends from each of them; the distance is the number of links on the only way there that passes no node
+    twice.
     """
     up = walked.where("depth >= 0").select(F.col("id").alias("descendant"), "depth", F.posexplode("path").alias("at", "id"))
     trees = up.where(F.col("at") < F.col("depth")).select("id", "descendant", (F.col("depth") - F.col("at")).cast("long").alias("distance"))
-    if not cycles:
-        return trees
     looped = walked.where("depth = -1").select("id", "root_id", "path")
     # The path to the parent of the smallest id is the whole cycle, from the smallest id on.
     closing = walked.where("closes_cycle").select("root_id", F.col("parent").alias("id"))

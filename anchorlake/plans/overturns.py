@@ -21,23 +21,13 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full path of each of them, root first."""
-    return hierarchy(links(spark, sf_dir)).where("depth >= 0").select("id", "depth", F.concat_ws(" > ", "path").alias("path"))
-
-
-def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All descendants of each change, with their distance."""
-    return descendants(hierarchy(links(spark, sf_dir)))
-
-
-def p3_all_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full path of each change that overturns one, those that never reach a root (depth -1) included: from the cycle's smallest id."""
+    """The full path of each of them, root first; of those that never reach a root (depth -1) from the cycle's smallest id."""
     return hierarchy(links(spark, sf_dir)).select("id", "root_id", "depth", F.concat_ws(" > ", "path").alias("path"))
 
 
-def p3_all_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All descendants of each change, with their distance, on cycles and below them as well."""
-    return descendants(keep(hierarchy(links(spark, sf_dir))), cycles=True)
+    return descendants(keep(hierarchy(links(spark, sf_dir))))
 
 
 def p3_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,14 +51,19 @@ ring AS (SELECT x, min(y) AS root FROM r WHERE y IN (SELECT x FROM r WHERE x = y
 """
 SQL = {
     "p3_found": _LINKS + _TREES + _RINGS + "SELECT id, root AS root_id, depth::BIGINT AS depth FROM w UNION ALL SELECT x, root, -1 FROM ring",
-    "p3_paths": _LINKS + _TREES + "SELECT id, depth::BIGINT AS depth, path FROM w",
+    "p3_paths": _LINKS
+    + _TREES
+    + _RINGS
+    + ", v AS (SELECT x AS id, root, x AS cur, x AS path FROM ring UNION ALL SELECT v.id, root, u.p, u.p || ' > ' || path FROM v JOIN u ON u.id = v.cur WHERE v.cur <> root) SELECT id, root AS root_id, depth::BIGINT AS depth, path FROM w UNION ALL SELECT id, root, -1, path FROM v WHERE cur = root",
     "p3_cycles": _LINKS + _TREES + _RINGS + "SELECT root AS id, max(u.p) FILTER (WHERE u.id = root) AS parent, count(*) AS changes FROM ring JOIN u ON u.id = ring.x GROUP BY root",
 }
 SQL["p3_descendants"] = (
     _LINKS
     + _TREES
     + """,
-d AS (SELECT id AS x, p AS y, 1 AS n FROM e WHERE id IN (SELECT id FROM w) UNION ALL SELECT d.x, e.p, n + 1 FROM d JOIN e ON e.id = d.y)
-SELECT y AS id, x AS descendant, n::BIGINT AS distance FROM d"""
+u AS (SELECT id, p FROM e WHERE id NOT IN (SELECT id FROM w)),
+d AS (SELECT id AS x, p AS y, 1 AS n FROM e WHERE id IN (SELECT id FROM w) UNION ALL SELECT d.x, e.p, n + 1 FROM d JOIN e ON e.id = d.y),
+a AS (SELECT id AS x, p AS y, 1 AS n, [id, p] AS seen FROM u WHERE p <> id UNION ALL SELECT a.x, u.p, n + 1, list_append(seen, u.p) FROM a JOIN u ON u.id = a.y WHERE NOT list_contains(seen, u.p))
+SELECT y AS id, x AS descendant, n::BIGINT AS distance FROM d UNION ALL SELECT y, x, n FROM a"""
 )
-QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_all_paths": p3_all_paths, "p3_all_descendants": p3_all_descendants, "p3_cycles": p3_cycles}
+QUERIES = {"p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p3_cycles": p3_cycles}
