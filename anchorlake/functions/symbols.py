@@ -105,31 +105,90 @@ def declarations(text: str, lang: str) -> list[tuple]:
     return out
 
 
-_CALL = re.compile(r"(?:\b(\w+)\s*\.\s*)?\b([A-Za-z_]\w*)\s*\(")
+_CALL = re.compile(r"(?<![\w.])(?:([A-Za-z_]\w*)[ \t]*\.[ \t]*)?([A-Za-z_]\w*)[ \t]*\(")
 _GO_WORDS = {"func", "if", "for", "switch", "select", "return", "go", "defer", "range", "make", "new", "len", "cap", "append", "panic", "recover", "copy", "delete", "close", "print", "println", "min", "max", "clear", "map", "chan", "type", "interface", "struct", "string", "int", "byte", "rune", "error", "bool"}
+_GO_FUNC = re.compile(r"^func[ \t]+(?:\([ \t]*(?:(?P<recv>\w+)[ \t]+)?\*?[ \t]*(?P<owner>\w+)(?:\[[^\]]*\])?[ \t]*\)[ \t]*)?(?P<name>\w+)|^(?P<word>type|var|const)\b[ \t]*(?P<group>\()?", re.M)
+_SPEC = re.compile(r"[ \t]*(?P<names>[A-Za-z_]\w*(?:[ \t]*,[ \t]*[A-Za-z_]\w*)*)")
 
 
-def go_file(text: str) -> tuple[str, dict[str, str], list[tuple[str, str, str]], list[tuple[str, list[str], list[str]]]]:
-    """Package, imports (name to path), calls (caller, qualifier, name) and interfaces (name, methods, embedded) of a Go file."""
+def _close(bare: str, at: int) -> int:
+    """Where the bracket at ``at`` is closed; the text's end if nowhere."""
+    depth = 0
+    for m in re.compile(r"[(){}\[\]]").finditer(bare, at):
+        depth += 1 if m.group() in "([{" else -1
+        if not depth:
+            return m.start()
+    return len(bare)
+
+
+def _specs(bare: str, at: int, end: int):
+    """(start, end) of the specs of a group: lines at the group's own depth, with what their brackets hold."""
+    start = at
+    k = at
+    while k < end:
+        c = bare[k]
+        if c in "([{":
+            k = min(end, _close(bare, k))
+        elif c in "\n;":
+            if bare[start:k].strip():
+                yield start, k
+            start = k + 1
+        k += 1
+    if bare[start:end].strip():
+        yield start, end
+
+
+def go_declared(bare: str):
+    """(names, kind, receiver's name, owner, start, end) of all top-level declarations, specs of groups one by one."""
+    for m in _GO_FUNC.finditer(bare):
+        if m["name"]:
+            yield [f"{m['owner']}.{m['name']}" if m["owner"] else m["name"]], "func", m["recv"] or "", m["owner"] or "", m.end(), _block(bare, m.end(), len(bare))
+            continue
+        spans = _specs(bare, m.end(), _close(bare, m.end() - 1)) if m["group"] else [(m.end(), _block(bare, m.end(), len(bare)))]
+        for start, end in spans:
+            if n := _SPEC.match(bare, start, end):
+                yield [x.strip() for x in n["names"].split(",")], m["word"], "", "", n.end(), end
+
+
+def go_file(text: str) -> tuple[str, dict[str, str], list[str], list[tuple[str, str, str]], list[tuple[str, list[str], list[tuple[str, str]]]]]:
+    """Package, imports (name to path), declared names, calls (caller, qualifier, name) and interfaces (name, methods, embedded) of a Go file.
+
+    A call of the receiver's own method has no qualifier and the owner before its name. Calls through longer chains aren't
+    resolved. What an interface embeds is (qualifier, name); ('', '!') is a constraint, which is no method set. Imports whose
+    names go into the file's own names or nowhere don't count.
+    """
     bare = blanked(text, "go")
     package = (re.search(r"^package[ \t]+(\w+)", bare, re.M) or [None, ""])[1]
     imports = {}
     for m in re.finditer(r"^import[ \t]*(?:\((?P<many>[^)]*)\)|(?P<one>[^\n]*))", text, re.M):
         for line in (m["many"] or m["one"] or "").split("\n"):
-            if x := re.match(r"[ \t]*(?:(\w+|\.)[ \t]+)?\"([^\"]+)\"", line):
+            if (x := re.match(r"[ \t]*(?:(\w+|\.)[ \t]+)?\"([^\"]+)\"", line)) and x[1] not in (".", "_"):
                 imports[x[1] or x[2].rsplit("/", 1)[-1]] = x[2]
-    calls, interfaces = [], []
-    for m in _DECLARED["go"].finditer(bare):
-        end = _block(bare, m.end(), len(bare))
-        if m["fn"]:
-            caller = f"{m['owner']}.{m['fn']}" if m["owner"] else m["fn"]
-            body = bare.find("{", m.end(), end)
-            if body >= 0:
-                calls.extend((caller, c[1] or "", c[2]) for c in _CALL.finditer(bare, body, end) if c[1] or c[2] not in _GO_WORDS)
-        elif m["type"] and (x := re.match(r"\s*interface\s*\{([\s\S]*)\}", bare[m.end() : end])):
-            methods = re.findall(r"^\s*(\w+)\s*\(", x[1], re.M)
-            interfaces.append((m["type"], methods, re.findall(r"^\s*([\w.]+)\s*$", x[1], re.M)))
-    return package, imports, calls, interfaces
+    declared, calls, interfaces, seen = [], [], [], {}
+    for names, kind, recv, owner, start, end in go_declared(bare):
+        own = []
+        for name in names:
+            seen[name] = seen.get(name, 0) + 1
+            own.append(name if seen[name] == 1 else f"{name}~{seen[name]}")
+        declared.extend(own)
+        body = bare.find("{", start, end) if kind == "func" else bare.find("=", start, end) if kind == "var" else -1
+        if body >= 0:
+            found = [(c[1] or "", c[2]) for c in _CALL.finditer(bare, body, end) if c[1] or c[2] not in _GO_WORDS]
+            found = [("", f"{owner}.{n}") if q and q == recv else (q, n) for q, n in found]
+            calls.extend((caller, q, n) for caller in own for q, n in dict.fromkeys(found))
+        if kind == "type" and (x := re.match(r"[ \t]*(?:\[[^\]]*\])?[ \t]*interface[ \t]*\{", bare[start:end])):
+            methods, embedded = [], []
+            inner = start + x.end()
+            for a, b in _specs(bare, inner, _close(bare, inner - 1)):
+                line = bare[a:b].strip()
+                if y := re.match(r"([A-Za-z_]\w*)[ \t]*\(", line):
+                    methods.append(y[1])
+                elif y := re.fullmatch(r"(?:([A-Za-z_]\w*)\.)?([A-Za-z_]\w*)", line):
+                    embedded.append((y[1] or "", y[2]))
+                else:
+                    embedded.append(("", "!"))
+            interfaces.append((own[0], methods, embedded))
+    return package, imports, declared, calls, interfaces
 
 
 def generated(text: str) -> bool:

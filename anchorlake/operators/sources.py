@@ -75,75 +75,6 @@ def admitted(files: DataFrame, include: list[str], exclude: list[str], path: str
     return files.where(known & ~skipped & ~hit(exclude) & (hit(include) if include else F.lit(True)))
 
 
-# Go calls
-
-_CALLS = "file string, dir string, package string, caller string, qualifier string, target string, name string"
-_INTERFACES = "file string, dir string, package string, name string, method string, open boolean"
-
-
-def _dir(file: str) -> str:
-    return file.rsplit("/", 1)[0] if "/" in file else ""
-
-
-def _calls(file: str, lang: str | None, text: str) -> list[tuple]:
-    if lang != "go":
-        return []
-    package, imports, calls, _ = S.go_file(text)
-    return [(file, _dir(file), package, caller, q, imports.get(q), name) for caller, q, name in dict.fromkeys(calls)]
-
-
-def _interfaces(file: str, lang: str | None, text: str) -> list[tuple]:
-    if lang != "go":
-        return []
-    package, _, _, found = S.go_file(text)
-    return [(file, _dir(file), package, name, m, bool(embedded)) for name, methods, embedded in found for m in methods]
-
-
-def go_calls(files: DataFrame) -> DataFrame:
-    ship(files.sparkSession)
-    return texts(files).mapInArrow(_flat(_calls, _CALLS), _CALLS)
-
-
-def go_interfaces(files: DataFrame) -> DataFrame:
-    ship(files.sparkSession)
-    return texts(files).mapInArrow(_flat(_interfaces, _INTERFACES), _INTERFACES)
-
-
-def implements(interfaces: DataFrame, methods: DataFrame) -> DataFrame:
-    """``dir, interface, type``: types that have all methods of an interface of their folder (relational division).
-
-    ``methods`` has ``dir, type, method``. Interfaces that embed others or have no methods are left out; one with a single
-    method counts only if exactly one type has it.
-    """
-    closed = interfaces.groupBy("dir", "name").agg(F.max("open").alias("_open"), F.countDistinct("method").alias("_need")).where("NOT _open")
-    need = interfaces.select("dir", "name", "method").distinct().join(closed, ["dir", "name"])
-    have = need.join(methods.select("dir", "type", "method").distinct(), ["dir", "method"]).groupBy("dir", "name", "type", "_need").agg(F.count("*").alias("_have")).where("_have = _need")
-    alone = have.groupBy("dir", "name").agg(F.count("*").alias("_types"))
-    return have.join(alone, ["dir", "name"]).where("_need > 1 OR _types = 1").select("dir", F.col("name").alias("interface"), "type")
-
-
-def call_edges(calls: DataFrame, declared: DataFrame) -> DataFrame:
-    """``src, dst`` (``file#symbol``) of calls that can be resolved, each once, none to itself.
-
-    ``declared``: ``file, name`` of symbols. A bare name means the caller's own file, else the only file of its folder that
-    declares it; a name behind an import the only file of a folder that ends in the import's path; a name behind anything else
-    the folder's only method of that name.
-    """
-    d = declared.select("file", F.regexp_extract("file", r"^(.*)/", 1).alias("dir"), "name", F.substring_index("name", ".", -1).alias("base"))
-    src = F.concat("file", F.lit("#"), "caller")
-    c = calls.withColumn("src", src)
-    own = d.select(F.col("file").alias("_f"), F.col("name").alias("_n"))
-    bare = c.where("qualifier = ''")
-    here = bare.join(own, (F.col("file") == F.col("_f")) & (F.col("name") == F.col("_n"))).select("src", F.concat("_f", F.lit("#"), "_n").alias("dst"), "file", "name")
-    one = d.groupBy("dir", "name").agg(F.min("file").alias("_f"), F.countDistinct("file").alias("_k")).where("_k = 1")
-    near = bare.join(here.select("file", "name").distinct(), ["file", "name"], "left_anti").join(one, ["dir", "name"]).select("src", F.concat("_f", F.lit("#"), "name").alias("dst"))
-    last = d.groupBy(F.substring_index("dir", "/", -1).alias("_d"), "name").agg(F.min("file").alias("_f"), F.countDistinct("file").alias("_k")).where("_k = 1")
-    far = c.where("target IS NOT NULL").withColumn("_d", F.substring_index("target", "/", -1)).join(last, ["_d", "name"]).select("src", F.concat("_f", F.lit("#"), "name").alias("dst"))
-    method = d.where("contains(name, '.')").groupBy("dir", "base").agg(F.min(F.struct("file", "name")).alias("_m"), F.count("*").alias("_k")).where("_k = 1")
-    other = c.where("qualifier <> '' AND target IS NULL").join(method.withColumnRenamed("base", "name"), ["dir", "name"]).select("src", F.concat("_m.file", F.lit("#"), "_m.name").alias("dst"))
-    return here.select("src", "dst").unionByName(near).unionByName(far).unionByName(other).where("src <> dst").distinct()
-
-
 # Reconciling
 
 

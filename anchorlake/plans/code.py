@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorlake.common import keep, table
-from anchorlake.operators import cards, graph, journal, search, sources
+from anchorlake.operators import calls, cards, graph, journal, search, sources
 from anchorlake.plans import model as m
 from anchorlake.plans import retrieval as r
 from anchorlake.sources import files as io
@@ -23,8 +23,21 @@ def source_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.admitted(_files(spark, sf_dir).select("file").distinct(), INCLUDE, EXCLUDE)
 
 
+#: Beginnings of files, and whether they say that a tool wrote them.
+GENERATED = {
+    "case/first.go": ("// Code generated by protoc. DO NOT EDIT.\npackage a\n", True),
+    "case/later.go": ("/* licence */\n\n// source: a.proto\r\n// Code generated by x. DO NOT EDIT.\r\npackage a\n", True),
+    "case/after.go": ("package a\n// Code generated by x. DO NOT EDIT.\n", False),
+    "case/other.go": ("// code generated by x, do not edit\npackage a\n", False),
+    "case/block.go": ("/*\n// Code generated by x. DO NOT EDIT.\n*/\npackage a\n", False),
+    "case/hash.py": ("# auto-generated\nx = 1\n", False),
+}
+
+
 def generated_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sources.generated_files(_files(spark, sf_dir))
+    """Files that a tool wrote, by the comments at their top; with cases, as the tables have none."""
+    cases = spark.createDataFrame([(f, None, t) for f, (t, _) in GENERATED.items()], "file string, lang string, src_text string")
+    return sources.generated_files(_files(spark, sf_dir).select("file", "lang", "src_text").unionByName(cases))
 
 
 def symbol_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,14 +56,91 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def call_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls of Go functions that can be resolved."""
-    return sources.call_edges(keep(sources.go_calls(_files(spark, sf_dir))), _symbols(spark, sf_dir).where("lang = 'go'"))
+    return calls.call_graph(_files(spark, sf_dir), MODULE_NAME)[0]
+
+
+#: A small module whose calls are known, as the files of the tables hardly call each other.
+MODULE_NAME = "example.com/deck"
+MODULE = {
+    "store/disk.go": 'package store\n\nimport (\n\t"fmt"\n\tx "example.com/deck/plan"\n)\n\ntype Keeper interface {\n\tSealer\n\tPut(k string)\n}\n\ntype (\n\tSealer interface{ Seal() error }\n\tDisk struct{}\n)\n\nfunc (d *Disk) Put(k string) {\n\td.Seal() // d.Lost()\n\tnote(k)\n\tx.Chart()\n\tfmt.Println("note(", k)\n}\n\nfunc (d *Disk) Seal() error { return nil }\n\nvar start = open()\n\nfunc open() *Disk { return &Disk{} }\n',
+    "store/note.go": "package store\n\nfunc note(k string) { trim(k) }\n\nfunc trim(k string) string { return k }\n",
+    "store/note_test.go": 'package store_test\n\nfunc note(k string) {}\n\nfunc TestX() { note("a") }\n',
+    "plan/chart.go": 'package plan\n\ntype Tape struct{}\n\nfunc (t Tape) Put(k string) {}\n\nfunc (t Tape) Seal() error { return nil }\n\nfunc Chart() {\n\tk := pick()\n\tk.Put("a")\n\tk.Trim()\n}\n\nfunc Run(s Keeper) { s.Seal() }\n\ntype Odd interface {\n\t~int | string\n\tPut(k string)\n}\n',
+    "plan/pick.go": "package plan\n\nfunc pick() Tape { return Tape{} }\n",
+    "cmd/main.go": 'package main\n\nimport (\n\t"example.com/deck/plan"\n\t"example.com/deck/store"\n)\n\nfunc main() {\n\tplan.Chart()\n\ts := store.Make()\n\ts.Seal()\n\tgo run(s)\n}\n\nfunc run(s any) { main() }\n',
+}
+#: Its calls and implementations, found by reading it.
+MODULE_CALLS = [
+    ("store/disk.go#Disk.Put", "store/disk.go#Disk.Seal"),
+    ("store/disk.go#Disk.Put", "store/note.go#note"),
+    ("store/disk.go#Disk.Put", "plan/chart.go#Chart"),
+    ("store/disk.go#start", "store/disk.go#open"),
+    ("store/note.go#note", "store/note.go#trim"),
+    ("store/note_test.go#TestX", "store/note_test.go#note"),
+    ("plan/chart.go#Chart", "plan/pick.go#pick"),
+    ("plan/chart.go#Chart", "plan/chart.go#Tape.Put"),
+    ("plan/chart.go#Run", "plan/chart.go#Tape.Seal"),
+    ("cmd/main.go#main", "plan/chart.go#Chart"),
+    ("cmd/main.go#main", "store/disk.go#Disk.Seal"),
+    ("cmd/main.go#main", "plan/chart.go#Tape.Seal"),
+    ("cmd/main.go#main", "cmd/main.go#run"),
+    ("cmd/main.go#run", "cmd/main.go#main"),
+]
+MODULE_TYPES = [("store/disk.go#Keeper", "store/disk.go#Disk"), ("store/disk.go#Keeper", "plan/chart.go#Tape")]
+#: Nodes of the module that have an active entry.
+MODULE_TOLD = ["plan/chart.go#Chart", "store/disk.go#Disk.Put", "cmd/main.go#main"]
+
+
+def _module(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Calls, implementations, nodes and entries of the small module."""
+    files = spark.createDataFrame([(f, "go", t) for f, t in MODULE.items()], "file string, lang string, src_text string")
+    c, i = calls.call_graph(files, MODULE_NAME)
+    ids = sorted({x for pair in MODULE_CALLS for x in pair} | {x for pair in MODULE_TYPES for x in pair})
+    nodes = spark.createDataFrame([(x, "function", "fresh", x.split("#")[0]) for x in ids], "node_id string, level string, status string, file string")
+    entries = spark.createDataFrame([(x, x, True) for x in MODULE_TOLD], "entry_id string, node_id string, active boolean")
+    return c, i, nodes, entries
+
+
+def module_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls of the small module."""
+    return _module(spark)[0]
+
+
+def module_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Its interfaces and the types that have all their methods."""
+    return _module(spark)[1]
+
+
+def module_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a change of three of its functions bears on: callers about which something is known."""
+    c, _, _, e = _module(spark)
+    changed = spark.createDataFrame([("store/disk.go#Disk.Seal",), ("plan/chart.go#Tape.Seal",), ("store/note.go#note",), ("plan/pick.go#pick",)], "node_id string")
+    return calls.impact(c, changed, e).select("node_id", "callers", F.array_join("told", ",").alias("told"))
+
+
+def module_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two or more functions of it call and nobody has described."""
+    c, _, n, e = _module(spark)
+    return calls.gaps(c, n, e)
+
+
+def module_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often its files are called from other files."""
+    return calls.centrality(_module(spark)[0])
+
+
+def module_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What lies one step from two hits along calls, interfaces and a flow."""
+    c, i, n, e = _module(spark)
+    flow = spark.createDataFrame([("cmd/main.go#main", "store/note.go#trim"), ("store/note.go#trim", "cmd/main.go#main")], "src string, dst string")
+    hits = spark.createDataFrame([("cmd/main.go#main",), ("store/disk.go#Keeper",)], "node_id string")
+    return graph.neighbours([*calls.structure(c, i), ("flow", flow)], hits, e, 10)
 
 
 def interface_division(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Types that have all keywords of another node of the folder: division as for interfaces, on the nodes' keywords."""
+    """Nodes that have all keywords of another node of the folder: division as for interfaces, on the nodes' keywords."""
     n = m.nodes(spark, sf_dir).select("node_id", F.regexp_extract("file", r"^(.*)/", 1).alias("dir"), F.explode(F.array_distinct("keywords")).alias("method"))
-    want = n.select("dir", F.col("node_id").alias("name"), "method", F.lit(False).alias("open"))
-    return sources.implements(want, n.select("dir", F.col("node_id").alias("type"), "method"))
+    return calls.divide(n.select("dir", F.col("node_id").alias("interface"), "method"), n.select("dir", F.col("node_id").alias("type"), "method"), "dir")
 
 
 def _hashed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -118,7 +208,19 @@ UNION SELECT CASE WHEN id IN (SELECT id FROM off) THEN 'history' ELSE 'risk' END
 UNION SELECT CASE WHEN status IN ('orphaned', 'suspect') THEN 'risk' ELSE 'current' END, node_id, 'flow', id, text FROM fr JOIN n USING (node_id))
 """
 )
+def _values(rows: list[tuple], names: str) -> str:
+    """Rows that are known, as SQL."""
+    return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else f"{x}::BIGINT" for x in r) + ")" for r in rows) + f") t({names})"
+
+
 SQL = {
+    "module_calls": _values(MODULE_CALLS, "src, dst"),
+    "generated_code": _values([(f,) for f, (_, yes) in GENERATED.items() if yes], "file") + " UNION SELECT file FROM source_files WHERE file IS NOT NULL AND regexp_matches(src_text, '^(\\s*(//[^\\n]*\\n)?)*// Code generated [^\\n]* DO NOT EDIT\\.\\r?(\\n|$)')",
+    "module_types": _values(MODULE_TYPES, "interface, type"),
+    "module_impact": _values([("store/disk.go#Disk.Seal", 2, "cmd/main.go#main,store/disk.go#Disk.Put"), ("plan/chart.go#Tape.Seal", 2, "cmd/main.go#main"), ("store/note.go#note", 1, "store/disk.go#Disk.Put"), ("plan/pick.go#pick", 1, "plan/chart.go#Chart")], "node_id, callers, told"),
+    "module_gaps": _values([("plan/chart.go#Tape.Seal", 2), ("store/disk.go#Disk.Seal", 2)], "node_id, callers"),
+    "module_centrality": _values([("plan/chart.go", 3), ("store/note.go", 1), ("store/disk.go", 1), ("plan/pick.go", 1)], "file, callers"),
+    "module_neighbors": _values([("plan/chart.go#Chart", 3), ("cmd/main.go#run", 2), ("plan/chart.go#Tape", 1), ("plan/chart.go#Tape.Seal", 1), ("store/disk.go#Disk", 1), ("store/disk.go#Disk.Seal", 1), ("store/note.go#trim", 1)], "node_id, score"),
     "source_listing": "SELECT DISTINCT file FROM source_files WHERE regexp_matches(lower(file), '\\.(go|py|ts|tsx|js|rs|java)$') AND NOT list_has_any(string_split(file, '/'), ['vendor', 'node_modules', 'testdata', '.git']) AND regexp_matches(file, '^(src|pkg|internal|lib)/') AND NOT regexp_matches(file, '^internal/parser/') AND NOT regexp_matches(file, '^pkg/quota/[^/]*\\.rs$')",
     "interface_division": m.BASE
     + ", k AS (SELECT DISTINCT node_id, regexp_extract(file, '^(.*)/', 1) AS dir, unnest(keywords) AS w FROM n), q AS (SELECT a.dir, a.node_id AS interface, b.node_id AS type, count(*) AS have, any_value(a.need) AS need FROM (SELECT *, count(*) OVER (PARTITION BY dir, node_id) AS need FROM k) a JOIN k b ON a.dir = b.dir AND a.w = b.w GROUP BY 1, 2, 3 HAVING count(*) = any_value(a.need)) SELECT dir, interface, type FROM q QUALIFY need > 1 OR count(*) OVER (PARTITION BY dir, interface) = 1",
@@ -128,4 +230,4 @@ SQL = {
     "path_collisions": m.BASE + "SELECT lower(path) AS folded, count(*) AS paths FROM (SELECT file AS path FROM source_files WHERE file IS NOT NULL UNION SELECT file FROM n WHERE file IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
     "path_remap": m.BASE + "SELECT node_id, CASE WHEN starts_with(node_id, 'pkg/fusion_') THEN 'fused/' || substring(node_id, 12) WHEN starts_with(node_id, 'pkg/') THEN 'core/' || substring(node_id, 5) WHEN starts_with(node_id, 'internal/') THEN 'pkg/' || substring(node_id, 10) ELSE node_id END AS mapped FROM n",
 }
-QUERIES = {f.__name__: f for f in (source_listing, generated_code, symbol_extract, symbol_counts, call_graph, interface_division, reconcile_status, card_items, semantic_cards, truth_fingerprint, fake_embeddings, path_collisions, path_remap)}
+QUERIES = {f.__name__: f for f in (source_listing, generated_code, symbol_extract, symbol_counts, call_graph, module_calls, module_types, module_impact, module_gaps, module_centrality, module_neighbors, interface_division, reconcile_status, card_items, semantic_cards, truth_fingerprint, fake_embeddings, path_collisions, path_remap)}

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from anchorlake.functions import symbols as S
 from anchorlake.functions import text as T
 from anchorlake.plans.texts import LINT_CASES, SECRET_CASES
-from anchorlake.operators import cards, graph, journal, maintenance, resolve, search, similarity, sources, status
+from anchorlake.operators import calls, cards, graph, journal, maintenance, resolve, search, similarity, sources, status
 from anchorlake.sources import files as io
 from anchorlake.streaming import usage
 
@@ -183,11 +183,11 @@ def test_status(spark):
 
 
 def test_symbols_and_calls(spark):
-    go_b = 'package b\n\nimport (\n\t"fmt"\n\tx "example.com/m/a"\n)\n\ntype I interface {\n\tM()\n\tN(int)\n}\n\n// code generated, do not edit?\nfunc (s *S) M() { x.Sub("f() {"); helper(); s.N(1) }\nfunc (s *S) N(i int) {}\nfunc helper() { fmt.Println() }\nfunc helper() {}\n'
+    go_b = 'package b\n\nimport (\n\t"fmt"\n\tx "example.com/m/a"\n)\n\ntype I interface {\n\tM()\n\tN(int)\n}\n\n// code generated, do not edit?\nfunc (s *S) M() { x.Sub("f() {"); helper(); s.N(1) }\nfunc (s *S) N(i int) {}\nfunc helper() { fmt.Println() }\nfunc helper() {}\ntype S struct{}\n'
     go_a = "package a\nfunc Sub(s string) { inner() }\n"
     go_c = "package a\nfunc inner() {}\n"
     names = [d[0] for d in S.declarations(go_b, "go")]
-    assert names == ["I", "S.M", "S.N", "helper", "helper~2"]
+    assert names == ["I", "S.M", "S.N", "helper", "helper~2", "S"]
     a, b = S.declarations("def f(x):\n    return x\n", "python")[0], S.declarations("def g(x):\n\n    return x  # c\n", "python")[0]
     assert a[5] != b[5] and a[6] == b[6]
     assert [d[0] for d in S.declarations("pub struct A;\nimpl A {\n    pub fn f(&self) { let s = \"fn x() {\"; }\n}\n", "rust")] == ["A", "f"]
@@ -196,10 +196,10 @@ def test_symbols_and_calls(spark):
     assert S.declarations("def f(:", "python") == [] and S.declarations("x", "") == []
     assert S.generated("// Code generated by x. DO NOT EDIT.\npackage a") and not S.generated("package a\n// Code generated by x. DO NOT EDIT.")
     files = spark.createDataFrame([("m/b/b.go", None, go_b), ("m/a/a.go", "GO", go_a), ("m/a/c.go", "go", go_c), ("m/a/c.go", "go", go_c), ("n.txt", None, "x"), (None, "go", go_a), ("e.go", "go", None)], "file string, lang string, src_text string")
-    edges = sources.call_edges(sources.go_calls(files), sources.symbols(files).select("file", "name"))
+    edges, types = calls.call_graph(files, "example.com")
     assert sorted(map(tuple, edges.collect())) == [("m/a/a.go#Sub", "m/a/c.go#inner"), ("m/b/b.go#S.M", "m/a/a.go#Sub"), ("m/b/b.go#S.M", "m/b/b.go#S.N"), ("m/b/b.go#S.M", "m/b/b.go#helper")]
-    methods = spark.createDataFrame([("m/b", "S", "M"), ("m/b", "S", "N"), ("m/b", "R", "M")], "dir string, type string, method string")
-    assert [(r["interface"], r["type"]) for r in sources.implements(sources.go_interfaces(files), methods).collect()] == [("I", "S")]
+    assert [tuple(r) for r in types.collect()] == [("m/b/b.go#I", "m/b/b.go#S")]
+    assert calls.call_graph(files.limit(0), "x")[0].collect() == []
     kept = sources.admitted(files.select("file").distinct(), ["m/"], ["m/*/c.go"]).collect()
     assert {r["file"] for r in kept} == {"m/b/b.go", "m/a/a.go"}
 
@@ -302,3 +302,18 @@ def test_debts(spark):
     assert maintenance.complete(all_, key("review", "internal/"), h).collect()[0]["state"] == "open"
     with pytest.raises(maintenance.EvidenceRequired):
         maintenance.complete(all_, key("era", LOCK), h, " ")
+
+
+def test_call_graph_rules(spark):
+    """Interfaces that embed each other in a circle or what isn't there, are declared twice, or have one method and two types."""
+    files = {
+        "p/a.go": "package p\ntype A interface { B; M() }\ntype B interface { A; N() }\ntype C interface { gone.X; M(); N() }\ntype D interface { M() }\ntype T struct{}\nfunc (t T) M() {}\nfunc (t T) N() {}\nfunc (t T) both() { t.M(); u.N(); var a, b = f(), 1 }\n",
+        "p/b.go": "package p\ntype U struct{}\nfunc (u *U) M() {}\ntype E interface {\n\tM()\n\tN()\n}\nvar v, w = f(), g()\nfunc f() int { return h.deep.g() }\nfunc g() int { return f() }\n",
+        "p/c.go": "package p\ntype E2 interface{ M(); N() }\ntype F interface { D; N() }\nfunc dup() {}\n",
+        "p/d.go": "package p\nfunc dup() {}\nfunc here() { dup() }\n",
+        "p/e.go": "package p\nfunc there() { dup() }\ntype E interface { M() }\n",
+    }
+    df = spark.createDataFrame([(f, "go", t) for f, t in files.items()], "file string, lang string, src_text string")
+    edges, types = calls.call_graph(df, "m")
+    assert sorted(map(tuple, types.collect())) == [("p/c.go#E2", "p/a.go#T"), ("p/c.go#F", "p/a.go#T")]
+    assert sorted(map(tuple, edges.collect())) == [("p/a.go#T.both", "p/a.go#T.M"), ("p/a.go#T.both", "p/a.go#T.N"), ("p/a.go#T.both", "p/b.go#f"), ("p/b.go#g", "p/b.go#f"), ("p/b.go#v", "p/b.go#f"), ("p/b.go#v", "p/b.go#g"), ("p/b.go#w", "p/b.go#f"), ("p/b.go#w", "p/b.go#g"), ("p/d.go#here", "p/d.go#dup")]
