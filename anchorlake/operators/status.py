@@ -59,9 +59,9 @@ def ages(entries: DataFrame, now: Column) -> DataFrame:
 
 
 def activity(changes: DataFrame, now: Column, days: int = 30) -> DataFrame:
-    """One row: changes in the last days, those that overturn, those that revert."""
+    """One row: changes in the last days, those with evidence (``verified``), those that overturn, those that revert."""
     recent = changes.where((F.col("at") >= now - F.expr(f"INTERVAL {days} DAYS")) & (F.col("at") <= now))
-    return recent.agg(F.count("*").alias("changes"), F.count("overturns").alias("overturns"), F.count("reverts").alias("reverts"))
+    return recent.agg(F.count("*").alias("changes"), F.count("verified").alias("verified"), F.count("overturns").alias("overturns"), F.count("reverts").alias("reverts"))
 
 
 def edges_between_files(edges: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from anchorlake.common import keep, table
 from anchorlake.functions import text as T
+from anchorlake.functions import values as V
 from anchorlake.operators import graph, journal, maintenance, similarity, status
 from anchorlake.operators.resolve import resolve_as_of
 from anchorlake.plans import model as m
@@ -140,7 +141,7 @@ def accounting_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes that changes newer than the newest flow name: what the later of two journals adds."""
     c = m.changes(spark, sf_dir)
     base = c.where(F.col("at") < m.now() - F.expr("INTERVAL 365 DAYS"))
-    return journal.touched(c.join(base.select("id"), "id", "left_anti")).select("ref").distinct()
+    return journal.touched(c.join(base.select("id"), "id", "left_anti").where(V.change_id(F.col("id")))).select("ref").distinct()
 
 
 def journal_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,7 +298,7 @@ SQL = {
     "confidence_distribution": m.BASE + "SELECT coalesce(confidence, 'none') AS confidence, count(*) AS entries, (count(*) * 100 // (SELECT count(*) FROM e WHERE active))::BIGINT AS percent FROM e WHERE active GROUP BY 1",
     "knowledge_age": m.BASE + f", a AS (SELECT {_AGE.format('at')} AS s FROM e WHERE active AND at IS NOT NULL) SELECT count(*) AS entries, floor(sum(s) / count(*) / 86400)::BIGINT AS mean_days, {_LABEL.format('min(s)')} AS newest FROM a",
     "oldest_suspect": m.BASE + f"SELECT arg_min(node_id, {{'s': since, 'n': node_id}}) AS node_id, {_LABEL.format(_AGE.format('min(since)'))} AS age FROM n WHERE status = 'suspect' AND since IS NOT NULL",
-    "activity_180d": m.BASE + f"SELECT count(*) AS changes, count(overturns) AS overturns, count(reverts) AS reverts FROM c WHERE at >= TIMESTAMP '{m.NOW}' - INTERVAL 180 DAY AND at <= TIMESTAMP '{m.NOW}'",
+    "activity_180d": m.BASE + f"SELECT count(*) AS changes, count(verified) AS verified, count(overturns) AS overturns, count(reverts) AS reverts FROM c WHERE at >= TIMESTAMP '{m.NOW}' - INTERVAL 180 DAY AND at <= TIMESTAMP '{m.NOW}'",
     "coverage_rollup": m.BASE + f", {_SYM} SELECT directory, sum(n)::BIGINT AS symbols, sum(d)::BIGINT AS digested, (sum(d) * 100 // sum(n))::BIGINT AS percent FROM (SELECT unnest({_UP}) AS directory, n, d FROM sy) GROUP BY directory",
     "file_digestion": m.BASE + f", {_SYM} SELECT file, n AS symbols, d AS digested, (d * 100 // n)::BIGINT AS percent FROM sy",
     "file_centrality": m.BASE + _EDGES + f", {_CENTRAL} SELECT * FROM ce",
@@ -312,7 +313,7 @@ SQL = {
     "debt_next": _DEBTS + "SELECT * FROM debts WHERE starts_with(node_id, 'pkg/') ORDER BY debt LIMIT 1",
     "debt_counts": _DEBTS + "SELECT kind, count(*) AS debts FROM debts GROUP BY kind",
     "precheck_warnings": _PRE,
-    "accounting_delta": m.BASE + f"SELECT DISTINCT {m.sql_filled('x')} AS ref FROM (SELECT unnest(nodes) AS x FROM c WHERE NOT coalesce(at < TIMESTAMP '{m.NOW}' - INTERVAL 365 DAY, false)) WHERE {m.sql_filled('x')} IS NOT NULL",
+    "accounting_delta": m.BASE + f"SELECT DISTINCT {m.sql_filled('x')} AS ref FROM (SELECT unnest(nodes) AS x FROM c WHERE NOT coalesce(at < TIMESTAMP '{m.NOW}' - INTERVAL 365 DAY, false) AND regexp_full_match(id, 'chg_[0-9]{{8}}T[0-9]{{6}}Z_[0-9a-f]{{16}}') AND try_strptime(substring(id, 5, 15), '%Y%m%dT%H%M%S') IS NOT NULL) WHERE {m.sql_filled('x')} IS NOT NULL",
     "journal_dedup": "SELECT id, count(*) AS rows, count(DISTINCT {'a': nodes, 'b': what, 'c': why, 'd': overturns, 'e': reverts}) > 1 AS conflict FROM journal_changes GROUP BY id HAVING count(*) > 1",
     "changes_by_month": m.BASE + "SELECT strftime(at, '%Y-%m') AS month, count(*) AS changes, count(overturns) AS overturns FROM c GROUP BY 1",
     "usage_summary": "SELECT event_type AS tool, count(*) AS calls, count(DISTINCT user_id) AS users, count(*) FILTER (WHERE (props->>'$.k')::INT >= 50) AS hits, round(sum(value), 2) AS ms FROM events GROUP BY 1",

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
+import threading
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from anchorlake.common import ship
+from anchorlake.common import _path, keep, ship
 
 CHANGE = "id string, nodes array<string>, at timestamp, commit string, task string, what string, why string, rejected array<struct<option: string, reason: string>>, overturns string, rebuttal string, reverts string, author string"
 USAGE = "at timestamp, session string, tool string, source string, ok boolean, errCode string, hit boolean, hitStatus string, stale int, warnings int, blocked boolean, ms long"
@@ -214,3 +218,185 @@ def decode_snapshot(raw: bytes) -> list[tuple[str, list[float]]]:
     if at != len(raw) - 32:
         raise ValueError("bytes are left over")
     return out
+
+
+def ordered_response(items: list[tuple[int, list[float]]], n: int, size: int) -> list[list[float]]:
+    """The vectors of an embedder's answer (index, vector) in the order of what was asked.
+
+    Raises unless each index from 0 to n - 1 is there once and all vectors have ``size`` finite components, not all 0.
+    """
+    if sorted(i for i, _ in items) != list(range(n)):
+        raise ValueError("the answer's indexes aren't those that were asked for")
+    if any(len(v) != size or not np.isfinite(v).all() or not any(v) for _, v in items):
+        raise ValueError("the embedder returned an unusable vector")
+    return [v for _, v in sorted(items, key=lambda x: x[0])]
+
+
+# Working folders
+
+WIP = "owner string, task string, intent string, plan array<string>, done array<string>, todo array<string>, touching array<string>, updated timestamp"
+
+
+def read_wips(spark: SparkSession, path: str) -> DataFrame:
+    """Tasks in work, a JSON file per owner; files without a task are none."""
+    return spark.read.schema(WIP).option("mode", "DROPMALFORMED").json(path).where("task IS NOT NULL AND trim(task) <> ''")
+
+
+def save_wip(spark: SparkSession, path: str, wip: dict) -> None:
+    """Puts one owner's task in place of the one before; a reader sees the old or the new one, never a part."""
+    name = hashlib.sha256(wip["owner"].encode()).hexdigest()[:24]
+    publish(spark, f"{path}/{name}.json", json.dumps(wip, ensure_ascii=False, default=str).encode() + b"\n")
+
+
+def clear_wip(spark: SparkSession, path: str, owner: str) -> bool:
+    at, fs = _path(spark, f"{path}/{hashlib.sha256(owner.encode()).hexdigest()[:24]}.json")
+    return fs.delete(at, False)
+
+
+def publish(spark: SparkSession, path: str, data: bytes, check=None) -> None:
+    """Writes a file beside its place, lets ``check(bytes)`` look at what can be read of it, then moves it there in one step."""
+    at, fs = _path(spark, path)
+    part, _ = _path(spark, f"{path}.{uuid.uuid4().hex}.part")
+    fs.mkdirs(at.getParent())
+    out = fs.create(part, True)
+    out.write(data)
+    out.close()
+    try:
+        if check is not None:
+            stream = fs.open(part)
+            check(bytes(stream.readAllBytes()))
+            stream.close()
+        fs.delete(at, False)
+        if not fs.rename(part, at):
+            raise OSError(f"{path} can't be put in place")
+    finally:
+        fs.delete(part, False)
+
+
+def replace_table(df: DataFrame, path: str) -> None:
+    """Writes a table beside its place and moves it there when it is whole; a failed job leaves the old one."""
+    spark = df.sparkSession
+    beside = f"{path}.{uuid.uuid4().hex}.part"
+    df.write.parquet(beside)
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+    if not fs.rename(_path(spark, beside)[0], at):
+        raise OSError(f"{path} can't be put in place")
+
+
+def append_changes(changes: DataFrame, path: str) -> None:
+    """Adds changes to a journal of one file per month (UTC); each month that gets any is written anew and put in place at once.
+
+    Lines that are there already are kept once; a last line that was torn off stays a bad line of its own, as the new ones begin on
+    a new line.
+    """
+    spark = changes.sparkSession
+    lines = changes.where("at IS NOT NULL AND id IS NOT NULL").select(F.date_format("at", "yyyy-MM").alias("month"), F.to_json(F.struct(*changes.columns)).alias("value"), "at", "id")
+    for month in sorted(r[0] for r in lines.select("month").distinct().collect()):
+        at, fs = _path(spark, f"{path}/{month}.jsonl")
+        new = lines.where(F.col("month") == month).select("value", F.lit(1).alias("_new"), "at", "id")
+        if fs.exists(at):
+            old = spark.read.text(str(at)).where("trim(value) <> ''").select("value", F.lit(0).alias("_new"), F.lit(None).cast("timestamp").alias("at"), F.lit(None).cast("string").alias("id"))
+            new = old.unionByName(new.join(old.select("value"), "value", "left_anti"))
+        beside = f"{path}/_{month}.{uuid.uuid4().hex}"
+        new.repartition(1).sortWithinPartitions("_new", "at", "id").select("value").write.text(beside)
+        (part,) = [f.getPath() for f in fs.listStatus(_path(spark, beside)[0]) if f.getPath().getName().startswith("part-")]
+        fs.delete(at, False)
+        fs.rename(part, at)
+        fs.delete(_path(spark, beside)[0], True)
+
+
+def in_order(changes: DataFrame) -> DataFrame:
+    """A journal by time, then id."""
+    return changes.orderBy(F.asc_nulls_first("at"), "id")
+
+
+def walk(spark: SparkSession, path: str) -> DataFrame:
+    """``path, length, modified`` of all files below a folder, without hidden folders and files; contents aren't read."""
+    root = str(_path(spark, path)[0].toString()).rstrip("/")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", F.col("modificationTime").alias("modified"))
+    below = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), "^" + re.escape(re.sub("^file:/+", "/", root)) + "/", "")
+    return found.select(below.alias("path"), "length", "modified").where(~F.exists(F.split("path", "/"), lambda s: s.startswith(".")))
+
+
+def staged(working: DataFrame, index: DataFrame) -> DataFrame:
+    """``path, deleted`` of all files that the working folder or the index (``path, change``: A, M, D ...) changes, each once.
+
+    A file that either of them has again isn't deleted.
+    """
+    both = working.select("path", "change").unionByName(index.select("path", "change")).where("path IS NOT NULL")
+    return both.groupBy("path").agg(F.min(F.coalesce(F.col("change") == "D", F.lit(False))).alias("deleted"))
+
+
+def trail(log: DataFrame, n: int = 3, hops: int = 32) -> DataFrame:
+    """``file, commit, at, place``: the last ``n`` commits of each present file, those under former names included.
+
+    ``log``: ``commit, at, file`` and ``former``, the name before a rename. Names are followed for ``hops`` renames at most.
+    """
+    moved = log.where("former IS NOT NULL AND former <> file").groupBy(F.col("former").alias("_f")).agg(F.max_by("file", F.struct("at", "commit")).alias("_t"))
+    names = log.select(F.col("file").alias("name")).union(log.where("former IS NOT NULL").select("former")).distinct().withColumn("now", F.col("name"))
+    for _ in range(max(1, hops.bit_length())):
+        step = names.select(F.col("name").alias("_f"), F.col("now").alias("_n"))
+        names = keep(names.join(moved, F.col("now") == F.col("_f"), "left").select("name", F.coalesce("_t", "now").alias("now")))
+        moved = keep(moved.join(names.select(F.col("name").alias("_x"), F.col("now").alias("_y")), F.col("_t") == F.col("_x"), "left").select("_f", F.coalesce("_y", "_t").alias("_t")))
+    got = log.join(names, F.col("file") == F.col("name")).select(F.col("now").alias("file"), "commit", "at").distinct()
+    place = F.row_number().over(W.partitionBy("file").orderBy(F.desc("at"), F.desc("commit")))
+    return got.withColumn("place", place).where(F.col("place") <= n)
+
+
+def remap_nested(df: DataFrame, columns: list[str], prefixes: dict[str, str]) -> DataFrame:
+    """``df`` with ids moved wherever they stand: in texts, in arrays of texts, in the ``node`` of arrays of structs; each value once."""
+
+    def to(c):
+        out = c
+        for old in sorted(prefixes, key=len):
+            out = F.when(c.startswith(old), F.concat(F.lit(prefixes[old]), F.substring(c, F.lit(len(old) + 1), F.length(c)))).otherwise(out)
+        return out
+
+    cols = []
+    for f in df.schema:
+        kind = f.dataType.simpleString()
+        if f.name not in columns:
+            cols.append(F.col(f.name))
+        elif kind == "string":
+            cols.append(to(F.col(f.name)).alias(f.name))
+        elif kind == "array<string>":
+            cols.append(F.transform(f.name, to).alias(f.name))
+        else:
+            cols.append(F.transform(f.name, lambda s: s.withField("node", to(s["node"]))).alias(f.name))
+    return df.select(*cols)
+
+
+def import_plan(current: DataFrame, coming: DataFrame, key: str, force: bool = False) -> DataFrame:
+    """``key, action`` of an import: import (not there yet), skip (equal), replace (other, with ``force``) or conflict (other).
+
+    Nothing is written; an import with a conflict isn't carried out.
+    """
+    cols = sorted(c for c in coming.columns if c != key)
+    row = lambda df: df.select(key, F.to_json(F.struct(*cols)).alias("_j")).distinct()
+    got = row(coming).join(row(current).withColumnRenamed("_j", "_c"), key, "left")
+    return got.select(key, F.when(F.col("_c").isNull(), "import").when(F.col("_c") == F.col("_j"), "skip").otherwise("replace" if force else "conflict").alias("action")).distinct()
+
+
+def run_within(spark: SparkSession, action, seconds: float):
+    """The result of ``action()``; its Spark jobs are cancelled after so many seconds, and TimeoutError is raised."""
+    group, late = f"anchorlake-{uuid.uuid4().hex}", threading.Event()
+    sc = spark.sparkContext
+
+    def stop() -> None:
+        late.set()
+        sc.cancelJobGroup(group)
+
+    timer = threading.Timer(seconds, stop)
+    sc.setJobGroup(group, "cancellable", True)
+    timer.start()
+    try:
+        return action()
+    except Exception as e:
+        if late.is_set():
+            raise TimeoutError(f"cancelled after {seconds} s") from e
+        raise
+    finally:
+        timer.cancel()
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            sc.setLocalProperty(name, None)
