@@ -15,8 +15,10 @@ from anchorlake.common import keep, ship
 
 #: 64 bands of 6 minima: of pairs with similarity 0.7, one in 3,000 shares no band; of 0.8, one in 10**8.
 BANDS, ROWS = 64, 6
-#: Low bits of each minimum that the packed signature retains, and how far below the threshold an estimate may lie.
-BITS, SLACK = 2, 0.15
+#: Low bits of a minimum that a band's key is made of, six of them in 30 bits; and those that the packed signature retains.
+BAND_BITS, BITS = 5, 2
+#: Minima in the signature, and how far below the threshold an estimate from them may lie (four standard errors at 0.7).
+FIELDS, SLACK = 128, 0.2
 WORDS = re.compile("[a-z0-9]+|[一-鿿]")
 
 
@@ -60,22 +62,37 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     mul, add = _family(BANDS * ROWS)
     known: dict[str, int] = {}
     per = 64 // BITS
-    for b in batches:
-        bands, packed = [], []
-        for within, words in zip(b["within"].to_pylist(), b["words"].to_pylist()):
-            h = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for w in words), np.uint64, len(words))
+    at_band, at_bit = np.arange(ROWS, dtype=np.uint32) * BAND_BITS, np.arange(per, dtype=np.uint64) * np.uint64(BITS)
+    for whole in batches:
+        for at in range(0, whole.num_rows, 128):
+            b = whole.slice(at, 128)
+            lists = b["words"].to_pylist()
             if len(known) > 500_000:
                 known.clear()
-            low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-            for k in range(0, len(h), 1024):
-                np.minimum(low, (h[k : k + 1024, None] * mul + add).min(0), out=low)
-            low >>= np.uint64(32)
-            raw = low.astype(np.uint32).reshape(BANDS, ROWS)
-            seed = xxhash.xxh32_intdigest(within)
-            bands.append([xxhash.xxh64_intdigest(raw[j].tobytes(), seed + j) - 2**63 for j in range(BANDS)])
-            bits = (low & np.uint64(2**BITS - 1)).reshape(-1, per) << (np.arange(per, dtype=np.uint64) * np.uint64(BITS))
-            packed.append(np.bitwise_or.reduce(bits, 1).view(np.int64))
-        yield pa.RecordBatch.from_arrays([b["within"], b["digest"], b["words"], pa.array(bands, pa.list_(pa.int64())), pa.array([list(p) for p in packed], pa.list_(pa.int64()))], names=["within", "digest", "words", "bands", "signature"])
+            low = np.empty((len(lists), BANDS * ROWS), np.uint32)
+            flat = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for ws in lists for w in ws), np.uint64)
+            ends = np.cumsum([len(ws) for ws in lists])
+            k = 0
+            while k < len(lists):  # as many sets at once as have some thousand words together, a greater one in parts
+                m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4096, "right")))
+                first = int(ends[k - 1]) if k else 0
+                if m == k + 1:
+                    part = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
+                    for x in range(first, int(ends[k]), 4096):
+                        np.minimum(part, ((flat[x : min(x + 4096, ends[k]), None] * mul + add) >> np.uint64(32)).astype(np.uint32).min(0), out=part)
+                    low[k] = part
+                else:
+                    starts = np.r_[0, ends[k : m - 1] - first].astype(np.int64)
+                    low[k:m] = np.minimum.reduceat(((flat[first : ends[m - 1], None] * mul + add) >> np.uint64(32)).astype(np.uint32), starts, axis=0)
+                k = m
+            bands = np.bitwise_or.reduce((low & np.uint32(2**BAND_BITS - 1)).reshape(len(lists), BANDS, ROWS) << at_band, 2).astype(np.int32)
+            bits = np.bitwise_or.reduce((low[:, :FIELDS].astype(np.uint64) & np.uint64(2**BITS - 1)).reshape(len(lists), -1, per) << at_bit, 2).view(np.int64)
+            n = pa.array([len(ws) for ws in lists], pa.int32())
+            yield pa.RecordBatch.from_arrays([b["within"], b["digest"], b["rep"], n, _fixed(bands, pa.int32()), _fixed(bits, pa.int64())], names=["within", "digest", "rep", "n", "bands", "signature"])
+
+
+def _fixed(x: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1), kind))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -88,10 +105,9 @@ def estimate(a: Column, b: Column) -> Column:
             y = y.bitwiseOR(F.shiftrightunsigned(x, k))
         return F.bit_count(y.bitwiseAND(ones))
 
-    n, words = BANDS * ROWS, BANDS * ROWS * BITS // 64
-    other = sum((unequal(a[k].bitwiseXOR(b[k])) for k in range(words)), F.lit(0))
+    other = sum((unequal(a[k].bitwiseXOR(b[k])) for k in range(FIELDS * BITS // 64)), F.lit(0))
     chance = 1 / 2**BITS
-    return ((1 - other / F.lit(float(n))) - F.lit(chance)) / F.lit(1 - chance)
+    return ((1 - other / F.lit(float(FIELDS))) - F.lit(chance)) / F.lit(1 - chance)
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = None, parts: tuple[int, int] = (8, 10), cut: Callable[[str], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +121,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     Copies are one class before anything is compared, so a text that a third of all rows share costs one row. Candidates are
     classes that share a band, joined by band key (adaptive execution splits keys that are too frequent; no bucket is capped),
     with sizes that permit the threshold. Their packed signatures then decide by bit counts whether their words are fetched and
-    compared exactly. Pairs below the threshold are never returned; the share of true pairs that meet in no band is at most
+    compared exactly. The operator's product is membership and links, in size with the rows and the links between different
+    texts; copies are expanded into pairs only by :func:`all_pairs`. Pairs below the threshold are never returned; the share of true pairs that meet in no band is at most
     (1 - t**6)**64.
     """
     ship(df.sparkSession)
@@ -113,15 +130,18 @@ def near_duplicates(df: DataFrame, key: str, text: str, within: str | None = Non
     t = some / of
     base = df.select(F.col(key).cast("string").alias("key"), (F.col(within).cast("string") if within else F.lit("")).alias("within"), F.col(text).alias("text")).where("key IS NOT NULL AND within IS NOT NULL AND text IS NOT NULL")
     sets = keep(base.mapInArrow(_sets(cut or shingles_of(5)), "key string, within string, digest binary, words array<string>"))
-    classes = sets.groupBy("digest").agg(F.first("within").alias("within"), F.first("words").alias("words"))
-    signed = keep(classes.mapInArrow(_sign, "within string, digest binary, words array<string>, bands array<long>, signature array<long>").withColumn("class", F.monotonically_increasing_id()))
-    near = signed.select("class", F.size("words").alias("n"), F.explode("bands").alias("band"))
+    # A class's words stay with the row of its smallest key; what is signed is as small as it can be.
+    classes = sets.groupBy("digest").agg(F.min("key").alias("rep"), F.first("within").alias("within"), F.first("words").alias("words"))
+    signed = keep(classes.mapInArrow(_sign, "within string, digest binary, rep string, n int, bands array<int>, signature array<long>").withColumn("class", F.monotonically_increasing_id()))
+    near = signed.select("class", "n", "within", F.posexplode("bands").alias("j", "v")).select("class", "n", F.xxhash64("within", "j", "v").alias("band"))
     a, b = near.alias("a"), near.alias("b")
     small, large = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.class") < F.col("b.class")) & (small * of >= large * some)).select(F.col("a.class").alias("class_a"), F.col("b.class").alias("class_b")).distinct()
-    side = lambda c, s: signed.select(F.col("class").alias(f"class_{s}"), F.col(c).alias(f"_{s}"), F.col("within").alias(f"within_{s}"))
-    close = pairs.join(side("signature", "a"), "class_a").join(side("signature", "b"), "class_b").where(F.col("within_a") == F.col("within_b")).where(estimate(F.col("_a"), F.col("_b")) >= t - SLACK).select("class_a", "class_b")
-    exact = close.join(side("words", "a"), "class_a").join(side("words", "b"), "class_b").withColumn("both", F.size(F.array_intersect("_a", "_b"))).withColumn("all", F.size("_a") + F.size("_b") - F.col("both"))
+    side = lambda s: signed.select(F.col("signature").alias(f"_{s}"), F.col("class").alias(f"class_{s}"))
+    close = pairs.join(side("a"), "class_a").join(side("b"), "class_b").where(estimate(F.col("_a"), F.col("_b")) >= t - SLACK).select("class_a", "class_b")
+    told = sets.join(signed.select(F.col("rep").alias("key"), "digest", "class"), ["key", "digest"]).groupBy("class", "within").agg(F.first("words").alias("words"))
+    words = lambda s: told.select(F.col("class").alias(f"class_{s}"), F.col("words").alias(f"_{s}"), F.col("within").alias(f"within_{s}"))
+    exact = keep(close).join(words("a"), "class_a").join(words("b"), "class_b").where("within_a = within_b").withColumn("both", F.size(F.array_intersect("_a", "_b"))).withColumn("all", F.size("_a") + F.size("_b") - F.col("both"))
     links = exact.where(F.col("both") * of >= F.col("all") * some).select("class_a", "class_b", (F.col("both") / F.col("all")).alias("similarity"))
     members = sets.select("key", "digest").distinct().join(signed.select("digest", "class"), "digest").select("key", "class")
     return members, links

@@ -175,6 +175,8 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM t
 """
 SQL = {
     "p4_found": _NEAR,
+    "p5_classes": _WORDS.replace("pairs AS", "k AS (SELECT *, min(entry_id) OVER (PARTITION BY kind, list_sort(w)) AS c FROM f), kr AS (SELECT * FROM k WHERE c = entry_id), pairs AS").replace("FROM f a JOIN f b", "FROM kr a JOIN kr b")
+    + ", l AS (SELECT entry_a AS c FROM pairs WHERE n * 10 >= (m - n) * 7 UNION ALL SELECT entry_b FROM pairs WHERE n * 10 >= (m - n) * 7), d AS (SELECT c, count(*) AS links FROM l GROUP BY c), z AS (SELECT c, count(*) AS entries FROM k GROUP BY c) SELECT entry_id, c AS first_entry, entries, coalesce(links, 0) AS links FROM k JOIN z USING (c) LEFT JOIN d USING (c)",
     "p5_found": _WORDS + "SELECT entry_a, entry_b FROM pairs WHERE n * 10 >= (m - n) * 7",
     # A bucket k holds the values above border k - 1 up to border k; each value finds its bucket in a table of borders.
     "p7_daily_sketches": _SKETCH
