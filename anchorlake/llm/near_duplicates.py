@@ -15,10 +15,12 @@ from anchorlake.common import keep, ship
 
 #: 64 bands of 6 minima: of pairs with similarity 0.7, one in 3,000 shares no band; of 0.8, one in 10**8.
 BANDS, ROWS = 64, 6
-#: Low bits of a minimum that a band's key is made of, six of them in 30 bits; and those that the packed signature retains.
-BAND_BITS, BITS = 5, 2
+#: Low bits of a minimum that the packed signature retains. (A band's key is a hash of its whole minima in 32 bits.)
+BITS = 2
 #: Minima in the signature, and how far below the threshold an estimate from them may lie (four standard errors at 0.7).
 FIELDS, SLACK = 128, 0.2
+#: Words whose hashes a worker keeps at hand.
+WORDS_KNOWN = 32_768
 WORDS = re.compile("[a-z0-9]+|[一-鿿]")
 
 
@@ -60,34 +62,32 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     mul, add = _family(BANDS * ROWS)
-    known: dict[str, int] = {}
     per = 64 // BITS
-    at_band, at_bit = np.arange(ROWS, dtype=np.uint32) * BAND_BITS, np.arange(per, dtype=np.uint64) * np.uint64(BITS)
+    mix, at_bit = mul[:ROWS], np.arange(per, dtype=np.uint64) * np.uint64(BITS)
+    # Hashes of the words met last, a row each: most words of most texts are among them.
+    known: dict[str, int] = {}
+    table = np.empty((WORDS_KNOWN, BANDS * ROWS), np.uint32)
     for whole in batches:
-        for at in range(0, whole.num_rows, 128):
-            b = whole.slice(at, 128)
+        for at in range(0, whole.num_rows, 1024):
+            b = whole.slice(at, 1024)
             lists = b["words"].to_pylist()
-            if len(known) > 500_000:
-                known.clear()
-            low = np.empty((len(lists), BANDS * ROWS), np.uint32)
-            flat = np.fromiter((known[w] if w in known else known.setdefault(w, xxhash.xxh64_intdigest(w)) for ws in lists for w in ws), np.uint64)
-            ends = np.cumsum([len(ws) for ws in lists])
-            k = 0
-            while k < len(lists):  # as many sets at once as have some thousand words together, a greater one in parts
-                m = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + 4096, "right")))
-                first = int(ends[k - 1]) if k else 0
-                if m == k + 1:
-                    part = np.full(BANDS * ROWS, np.iinfo(np.uint32).max, np.uint32)
-                    for x in range(first, int(ends[k]), 4096):
-                        np.minimum(part, ((flat[x : min(x + 4096, ends[k]), None] * mul + add) >> np.uint64(32)).astype(np.uint32).min(0), out=part)
-                    low[k] = part
-                else:
-                    starts = np.r_[0, ends[k : m - 1] - first].astype(np.int64)
-                    low[k:m] = np.minimum.reduceat(((flat[first : ends[m - 1], None] * mul + add) >> np.uint64(32)).astype(np.uint32), starts, axis=0)
-                k = m
-            bands = np.bitwise_or.reduce((low & np.uint32(2**BAND_BITS - 1)).reshape(len(lists), BANDS, ROWS) << at_band, 2).astype(np.int32)
+            low = np.full((len(lists), BANDS * ROWS), np.iinfo(np.uint32).max, np.uint32)
+            for k, words in enumerate(lists):
+                for x in range(0, len(words), 4096):
+                    part = words[x : x + 4096]
+                    fresh = [w for w in part if w not in known]
+                    if fresh:
+                        if len(known) + len(fresh) > WORDS_KNOWN:
+                            known.clear()
+                            fresh = part
+                        first = len(known)
+                        h = np.fromiter(map(xxhash.xxh64_intdigest, fresh), np.uint64, len(fresh))
+                        table[first : first + len(fresh)] = (h[:, None] * mul + add) >> np.uint64(32)
+                        known.update(zip(fresh, range(first, first + len(fresh))))
+                    np.minimum(low[k], table[[known[w] for w in part]].min(0), out=low[k])
+            bands = ((low.reshape(len(lists), BANDS, ROWS) * mix).sum(2, dtype=np.uint64) >> np.uint64(32)).astype(np.uint32).view(np.int32)
             bits = np.bitwise_or.reduce((low[:, :FIELDS].astype(np.uint64) & np.uint64(2**BITS - 1)).reshape(len(lists), -1, per) << at_bit, 2).view(np.int64)
-            n = pa.array([len(ws) for ws in lists], pa.int32())
+            n = pa.array(list(map(len, lists)), pa.int32())
             yield pa.RecordBatch.from_arrays([b["within"], b["digest"], b["rep"], n, _fixed(bands, pa.int32()), _fixed(bits, pa.int64())], names=["within", "digest", "rep", "n", "bands", "signature"])
 
 
