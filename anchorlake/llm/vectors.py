@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from anchorlake.common import keep, ship
+from anchorlake.common import keep, release, ship
 
 #: Codebooks are fitted on at most so many vectors; all vectors are encoded and indexed.
 SAMPLE = 20_000
@@ -22,8 +22,10 @@ BEAM, ROUNDS = 4, 6
 CELL, PROBES = 512, 16
 #: Estimates may lie so far below the wanted similarity before a vector is no longer compared exactly.
 SLACK = 0.25
-#: Vectors of a cell that one task holds at once.
-BLOCK = 8_192
+#: Groups of a codebook's codewords: a region is the cells of one group with one prefix before them.
+REGIONS = 32
+#: Vectors of a region that are compared at once, and visitors that are compared with them at once.
+BLOCK, ASK = 8_192, 1_024
 
 
 class Books:
@@ -31,6 +33,7 @@ class Books:
 
     def __init__(self, books: list[np.ndarray]):
         self.books = books
+        self.near: dict[int, np.ndarray] = {}
         self.squares = [(c.astype(np.float64) ** 2).sum(1).astype(np.float32) for c in books]
 
     @classmethod
@@ -67,6 +70,18 @@ class Books:
             left = np.take_along_axis(left, of[:, :, None], 1) - c[word]
         return codes, x[:, None, :] - left
 
+    def regions(self, cells: np.ndarray, levels: int) -> np.ndarray:
+        """The region of each cell: cells that differ in their last code alone are near if its codewords are, and lie together."""
+        last = len(self.books[levels - 1])
+        if levels not in self.near:
+            c = self.books[levels - 1]
+            middle = c[:: max(1, len(c) // REGIONS)][:REGIONS].copy()
+            for _ in range(ROUNDS):
+                at = _nearest(c, middle)
+                middle = np.stack([c[at == k].mean(0) if (at == k).any() else middle[k] for k in range(len(middle))])
+            self.near[levels] = _nearest(c, middle)
+        return cells // last * REGIONS + self.near[levels][cells % last]
+
     def cells(self, codes: np.ndarray) -> np.ndarray:
         out = np.zeros(codes.shape[:-1], np.int64)
         for k in range(codes.shape[-1]):
@@ -107,36 +122,64 @@ def _encode(books, levels: int, probes: int):
                 x = _unit(_matrix(b["vec"])).astype(np.float32)
                 codes, sums = b_.beam(x, len(b_.books), BEAM)
                 near, _ = b_.beam(x, levels, probes)
-                visits = b_.cells(near)
                 own = b_.cells(codes[:, 0, :levels])
-                visits = [np.unique(np.r_[v, c]) for v, c in zip(visits, own)]
+                region = b_.regions(own, levels)
+                # Cells to visit, each once, by region: one visit holds all cells of its region.
+                visits = np.sort(np.c_[b_.cells(near), own], 1)
+                row = np.repeat(np.arange(len(x)), visits.shape[1])
+                cell = visits.reshape(-1)
+                first = np.r_[True, (np.diff(row) != 0) | (np.diff(cell) != 0)]
+                row, cell = row[first], cell[first]
+                of = b_.regions(cell, levels)
+                order = np.lexsort((cell, of, row))
+                row, cell, of = row[order], cell[order], of[order]
+                new = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(of) != 0)])
+                cells = pa.ListArray.from_arrays(pa.array(np.r_[new, len(cell)].astype(np.int32)), pa.array(cell))
+                per_row = np.r_[0, np.cumsum(np.bincount(row[new], minlength=len(x)))].astype(np.int32)
+                lists = lambda values: pa.ListArray.from_arrays(pa.array(per_row), values)
                 norm = np.sqrt((sums[:, 0].astype(np.float64) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([b["class"], b["vec"], pa.array([r.astype(np.int16).tobytes() for r in codes[:, 0]], pa.binary()), pa.array(norm.astype(np.float32)), pa.array(own), pa.array(visits, pa.list_(pa.int64()))], names=["class", "vec", "codes", "norm", "cell", "visits"])
+                yield pa.RecordBatch.from_arrays([b["class"], b["vec"], pa.array([r.astype(np.int16).tobytes() for r in codes[:, 0]], pa.binary()), pa.array(norm.astype(np.float32)), pa.array(own), pa.array(region), lists(pa.array(of[new])), lists(cells)], names=["class", "vec", "codes", "norm", "cell", "region", "regions", "cells"])
 
     return run
 
 
-def _search(books, k: int, floor: float):
-    """Blocks one after the other: first the vectors that lie there, then those that visit."""
+def _search(books, k: int, floor: float, slack: float):
+    """Blocks one after the other: first the vectors that lie there, by cell, then those that visit some of the cells."""
 
-    def score(b_: Books, base: list[pa.RecordBatch], visit: pa.RecordBatch) -> pa.RecordBatch | None:
+    def score(b_: Books, base: list[pa.RecordBatch], visit: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         here = pa.Table.from_batches(base).combine_chunks().to_batches()[0]
-        ids, mine = here["class"].to_numpy(), visit["class"].to_numpy()
+        ids, cell = here["class"].to_numpy(), here["cell"].to_numpy()
         codes = np.frombuffer(b"".join(here["codes"].to_pylist()), np.int16).reshape(len(ids), -1)
-        norm = here["norm"].to_numpy()
-        exact, ask = _unit(_matrix(here["vec"])), _unit(_matrix(visit["vec"]))
-        q = ask.astype(np.float32)
-        found = []
-        step = max(1, 4_000_000 // len(ids))
-        for at in range(0, len(mine), step):
-            part = q[at : at + step]
-            guess = np.zeros((len(part), len(ids)), np.float32)
-            for c, m in zip(b_.books, range(codes.shape[1])):
-                guess += (part @ c.T)[:, codes[:, m]]
-            guess /= norm
-            i, j = np.nonzero(guess >= floor - SLACK)
-            keep_ = mine[at + i] != ids[j]
-            i, j = i[keep_] + at, j[keep_]
+        norm, exact = here["norm"].to_numpy(), _unit(_matrix(here["vec"]))
+        known, start = np.unique(cell, return_index=True)
+        end = np.r_[start[1:], len(cell)]
+        for at in range(0, visit.num_rows, ASK):
+            part = visit.slice(at, ASK)
+            mine, ask = part["class"].to_numpy(), _unit(_matrix(part["vec"]))
+            q = ask.astype(np.float32)
+            tables = [q @ c.T for c in b_.books[: codes.shape[1]]]
+            wants = part["cells"]
+            cells = wants.flatten().to_numpy()
+            row = np.repeat(np.arange(len(mine)), np.diff(wants.offsets.to_numpy()))
+            order = np.argsort(cells, kind="stable")
+            cells, row = cells[order], row[order]
+            lo, hi = np.searchsorted(cells, known, "left"), np.searchsorted(cells, known, "right")
+            found_i, found_j = [], []
+            for c in range(len(known)):
+                rows = row[lo[c] : hi[c]]
+                s, e = start[c], end[c]
+                for x in range(0, len(rows), max(1, 2_000_000 // (e - s))):
+                    some = rows[x : x + max(1, 2_000_000 // (e - s))]
+                    guess = np.zeros((len(some), e - s), np.float32)
+                    for m, t in enumerate(tables):
+                        guess += t[some][:, codes[s:e, m]]
+                    guess /= norm[s:e]
+                    i, j = np.nonzero(guess >= floor - slack)
+                    found_i.append(some[i])
+                    found_j.append(j + s)
+            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
+            other = mine[i] != ids[j]
+            i, j = i[other], j[other]
             cos = np.concatenate([np.einsum("ij,ij->i", ask[i[s : s + 200_000]], exact[j[s : s + 200_000]]) for s in range(0, len(i), 200_000)]) if len(i) else np.zeros(0)
             ok = cos >= floor
             i, j, cos = i[ok], j[ok], cos[ok]
@@ -145,43 +188,44 @@ def _search(books, k: int, floor: float):
             first = np.r_[0, np.flatnonzero(np.diff(i)) + 1] if len(i) else np.zeros(0, np.int64)
             place = np.arange(len(i)) - np.repeat(first, np.diff(np.r_[first, len(i)])) if len(i) else first
             top = place < k
-            found.append((mine[i[top]], ids[j[top]], cos[top]))
-        a, b, c = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(c)], names=["class", "other", "cos"]) if len(a) else None
+            if top.any():
+                yield pa.RecordBatch.from_arrays([pa.array(mine[i[top]]), pa.array(ids[j[top]]), pa.array(cos[top])], names=["class", "other", "cos"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_, at, base = books.value, None, []
         for batch in batches:
-            cell, block, asks = batch["cell"].to_numpy(), batch["block"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
-            ends = np.r_[np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (asks[1:] != asks[:-1])) + 1, len(cell)]
+            region, block, asks = batch["region"].to_numpy(), batch["block"].to_numpy(), batch["asks"].to_numpy(zero_copy_only=False)
+            ends = np.r_[np.flatnonzero((np.diff(region) != 0) | (np.diff(block) != 0) | (asks[1:] != asks[:-1])) + 1, len(region)]
             start = 0
             for end in ends:
                 if end == start:
                     continue
-                now, part = (cell[start], block[start]), batch.slice(start, end - start)
+                now, part = (region[start], block[start]), batch.slice(start, end - start)
                 if now != at:
                     at, base = now, []
                 if not asks[start]:
                     base.append(part)
-                elif base and (out := score(b_, base, part)) is not None:
-                    yield out
+                elif base:
+                    yield from score(b_, base, part)
                 start = end
 
     return run
 
 
-def most_similar(vectors: DataFrame, k: int = 5, floor: float = 0.9, probes: int = PROBES) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 5, floor: float = 0.9, probes: int = PROBES, slack: float = SLACK, sizes: tuple[int, ...] = BOOKS, cell: int = CELL) -> DataFrame:
     """``id, other, cos`` and ``place`` (1 to k): of each vector the k most similar others with a cosine of at least ``floor``.
 
     ``vectors`` has ``id`` and ``vec`` as :func:`usable` gives them; repeated rows count once. Ties go to the smaller id. The
-    collection may be empty. Cosines are exact (double); the loss is in vectors that lie in no cell visited, see the README for
-    the recall measured.
+    collection may be empty. Cosines are exact (double); the loss is in vectors that lie in no cell visited and in those whose
+    estimate is too far off, see the README for the recall measured. With as many ``probes`` as there are cells and a ``slack`` of 2
+    (or a ``floor`` of -1) nothing is lost.
 
     Equal vectors are one class, so a vector that a third of all rows share is searched once. Codes come from a beam search over
-    residual codebooks; a cell is a prefix of codes whose length follows the number of vectors, so the work per vector stays the
-    same for any collection. Cells of more than ``BLOCK`` vectors are cut into blocks that every visitor of the cell visits, so
-    no task holds more than a block. Within a block, sums of table lookups over stored norms estimate all cosines; all vectors
-    whose estimate is within ``SLACK`` of the floor are compared exactly.
+    residual codebooks of ``sizes``; a cell is a prefix of codes, long enough that about ``cell`` vectors share one. A visitor goes
+    to ``probes`` cells for the first code of the prefix and four times as many for each further one, as the cells then are so much
+    smaller. Cells that lie near each other make up a region, and a visitor is sent once to a region for all its cells there.
+    Regions of more than ``BLOCK`` vectors are cut into blocks, so no task holds more than a block. Within a cell, sums of table
+    lookups over stored norms estimate all cosines; all vectors whose estimate is within ``slack`` of the floor are compared exactly.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -191,21 +235,25 @@ def most_similar(vectors: DataFrame, k: int = 5, floor: float = 0.9, probes: int
     if not n:
         return rows.select("id", F.col("id").alias("other"), F.lit(0.0).alias("cos"), F.lit(1).alias("place"))
     sample = classes if n <= SAMPLE else classes.where(F.pmod(F.xxhash64("class"), F.lit(1_000_000)) < int(1_000_000 * SAMPLE / n)).limit(SAMPLE)
-    fitted = Books.fit(_unit(_matrix(sample.select("vec").toArrow()["vec"].combine_chunks())).astype(np.float32))
-    books = spark.sparkContext.broadcast(fitted)  # sum(BOOKS) codewords, whatever the collection
-    levels, cells = 1, len(fitted.books[0])
-    while cells * CELL < n and levels < len(fitted.books):
+    fitted = Books.fit(_unit(_matrix(sample.select("vec").toArrow()["vec"].combine_chunks())).astype(np.float32), sizes)
+    levels, cells, visits = 1, len(fitted.books[0]), probes
+    while cells * cell < n and levels < len(fitted.books):
         cells *= len(fitted.books[levels])
-        levels += 1
-    coded = keep(classes.mapInArrow(_encode(books, levels, probes), "class long, vec array<float>, codes binary, norm float, cell long, visits array<long>"))
-    blocks = coded.groupBy("cell").count().select("cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+        levels, visits = levels + 1, visits * 4
+    books = spark.sparkContext.broadcast(fitted)  # sum(sizes) codewords, whatever the collection
+    shape = "class long, vec array<float>, codes binary, norm float, cell long, region long, regions array<long>, cells array<array<long>>"
+    coded = keep(classes.mapInArrow(_encode(books, levels, visits), shape))
+    blocks = coded.groupBy("region").count().select("region", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     full = blocks.where("blocks > 1")
-    here = coded.join(full, "cell", "left").select("cell", F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(False).alias("asks"), "class", "vec", "codes", "norm")
-    asks = coded.select(F.explode("visits").alias("cell"), "class", "vec").join(blocks, "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "class", "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("norm"))
+    none = F.lit(None)
+    here = coded.select("region", "cell", "class", "vec", "codes", "norm").join(full, "region", "left").select("region", F.pmod(F.xxhash64("class"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.lit(False).alias("asks"), "cell", none.cast("array<long>").alias("cells"), "class", "vec", "codes", "norm")
+    asks = coded.select(F.explode(F.arrays_zip("regions", "cells")).alias("v"), "class", "vec").select(F.col("v.regions").alias("region"), F.col("v.cells").alias("cells"), "class", "vec")
+    asks = asks.join(blocks, "region").select("region", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), none.cast("long").alias("cell"), "cells", "class", "vec", none.cast("binary").alias("codes"), none.cast("float").alias("norm"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n * probes / 400_000))
-    met = here.unionByName(asks).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "asks")
-    best = met.mapInArrow(_search(books, k, floor), "class long, other long, cos double").distinct()
-    best = best.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy(F.desc("cos"), "other"))).where(F.col("_r") <= k).drop("_r")
+    met = here.unionByName(asks).repartition(parts, "region", "block").sortWithinPartitions("region", "block", "asks", "cell")
+    best = met.mapInArrow(_search(books, k, floor, slack), "class long, other long, cos double").distinct()
+    best = keep(best.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy(F.desc("cos"), "other"))).where(F.col("_r") <= k).drop("_r"))
+    release(coded)
     own = rows.join(classes, "vec").select("id", "class")
     first = own.withColumn("_r", F.row_number().over(W.partitionBy("class").orderBy("id"))).where(F.col("_r") <= k + 1).select(F.col("class").alias("other"), F.col("id").alias("near"))
     self = own.select("id", F.col("class").alias("other"), F.lit(1.0).alias("cos"))

@@ -45,3 +45,19 @@ def test_copies_ties_and_odd_vectors(spark):
 
 def test_empty(spark):
     assert most_similar(usable(spark.createDataFrame([], "id string, vec array<float>"), "id", "vec", 2)).collect() == []
+
+
+def test_recall_with_cells_of_two_codes_and_without_a_floor(spark):
+    """As in collections of millions, a cell is a prefix of two codes; the k nearest whatever their cosine, against brute force."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(300, 16))
+    x = np.concatenate([c + rng.normal(scale=0.25, size=(8, 16)) for c in centres]).astype(np.float32)
+    ids = [f"v{i:04}" for i in range(len(x))]
+    df = frame(spark, x, ids)
+    for floor, least in ((0.9, 0.95), (-1.0, 0.9)):
+        want = brute(x.astype(np.float64), ids, 5, floor)
+        got = {(r["id"], r["other"]) for r in most_similar(df, 5, floor, probes=8, sizes=(32,) * 6, cell=32).collect()}
+        assert len(got & want) >= least * len(want), (floor, len(got & want) / len(want))
+    want = brute(x.astype(np.float64), ids, 5, 0.5)
+    got = {(r["id"], r["other"]) for r in most_similar(df, 5, 0.5, probes=1024, slack=2.0, sizes=(32,) * 6, cell=32).collect()}
+    assert len(got ^ want) <= 2  # all cells visited, all pairs compared: ties by rounding alone
