@@ -168,8 +168,8 @@ def _search(books, k: int, floor: float, slack: float):
             for c in range(len(known)):
                 rows = row[lo[c] : hi[c]]
                 s, e = start[c], end[c]
-                for x in range(0, len(rows), max(1, 2_000_000 // (e - s))):
-                    some = rows[x : x + max(1, 2_000_000 // (e - s))]
+                for x in range(0, len(rows), max(1, 1_000_000 // (e - s))):
+                    some = rows[x : x + max(1, 1_000_000 // (e - s))]
                     guess = np.zeros((len(some), e - s), np.float32)
                     for m, t in enumerate(tables):
                         guess += t[some][:, codes[s:e, m]]
@@ -180,7 +180,7 @@ def _search(books, k: int, floor: float, slack: float):
             i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (found_i, found_j))
             other = mine[i] != ids[j]
             i, j = i[other], j[other]
-            cos = np.concatenate([np.einsum("ij,ij->i", ask[i[s : s + 200_000]], exact[j[s : s + 200_000]]) for s in range(0, len(i), 200_000)]) if len(i) else np.zeros(0)
+            cos = np.concatenate([np.einsum("ij,ij->i", ask[i[s : s + 20_000]], exact[j[s : s + 20_000]]) for s in range(0, len(i), 20_000)]) if len(i) else np.zeros(0)
             ok = cos >= floor
             i, j, cos = i[ok], j[ok], cos[ok]
             order = np.lexsort((ids[j], -cos, i))
