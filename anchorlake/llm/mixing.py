@@ -10,6 +10,8 @@ from anchorlake.common import keep, release
 
 #: Ranks fall into so many buckets, of which only the one that the target falls into is sorted.
 BUCKETS = 65_536
+#: The chance of a document, which is no whole copy, goes with its tokens to this power.
+POWER = -0.5
 _UNIT = float(2**53)
 
 
@@ -36,19 +38,20 @@ def plan_shares(sizes: DataFrame, targets: DataFrame, total: int | None = None)
     return has.withColumn("goal", F.coalesce(F.least(F.col("_share") * whole, F.col("_most").cast("double")), F.lit(0.0))).drop("_share", "_most")
 
 
-def inclusion(docs: DataFrame, rest: DataFrame) -> DataFrame:
-    """``source, factor``: a document of size t is to be included with probability min(1, factor x t), so that ``rest`` is the
+def inclusion(docs: DataFrame, rest: DataFrame, power: float) -> DataFrame:
+    """``source, factor``: a document of size t is to be included with probability min(1, factor x t**power), so that ``rest`` is the
     expected size of what is included.
 
-    Sizes from some size on are certain. That size is found from sums over the distinct sizes of a source, from the greatest down.
+    Sizes of which more would be wanted are certain. They are found from sums over the distinct sizes of a source, in the order in
+    which they are wanted.
     """
     t, n = F.col("tokens").cast("double"), F.col("_n").cast("double")
-    per = docs.groupBy("source", "tokens").agg(F.count("*").alias("_n")).join(rest, "source")
-    down = W.partitionBy("source").orderBy(F.desc("tokens"))
-    above = F.coalesce(F.sum(n * t).over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    below = F.sum(n * t * t).over(down.rowsBetween(W.currentRow, W.unboundedFollowing))
+    per = docs.groupBy("source", "tokens").agg(F.count("*").alias("_n")).join(rest, "source").withColumn("_w", F.pow(t, F.lit(float(power))))
+    order = W.partitionBy("source").orderBy(F.desc("_w"), F.desc("tokens"))
+    above = F.coalesce(F.sum(n * t).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    below = F.sum(n * t * F.col("_w")).over(order.rowsBetween(W.currentRow, W.unboundedFollowing))
     sums = per.withColumn("_f", (F.col("rest") - above) / below)
-    return sums.where((F.col("_f") >= 0) & (F.col("_f") * t <= 1 + 1e-12)).groupBy("source").agg(F.max_by("_f", "tokens").alias("factor"))
+    return sums.where((F.col("_f") >= 0) & (F.col("_f") * F.col("_w") <= 1 + 1e-12)).groupBy("source").agg(F.max_by("_f", F.struct("_w", "tokens")).alias("factor"))
 
 
 def _take(ranked: DataFrame, rest: DataFrame, key: str) -> DataFrame:
@@ -84,14 +87,15 @@ def _fill(left: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> list[
         left = nxt
 
 
-def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1, power: float = POWER) -> tuple[DataFrame, DataFrame]:
     """The mixture (``key, source, tokens, copies``; copies at least 1) and its report per target source.
 
     ``docs`` has ``key``, ``source`` and ``tokens``, one row per document; ``targets`` has ``source``, ``weight`` and
     ``max_repeats``. Sources that aren't targets, null sources and documents of no tokens aren't used. Each document of a source
     is taken floor(goal / available) times for certain. What then is missing is a sample of the source's documents, one more copy
-    of each: the chance of a document is in proportion to its tokens (1 for those so long that it would be more), documents are
-    ranked by random odds over the odds of their inclusion (Pareto order sampling), and the sample ends where its tokens reach what
+    of each: the chance of a document goes with its tokens to the ``power`` (1 where that would be more). By default shorter ones
+    are likelier than longer ones, so that a source's share isn't filled by a few giants; 1 makes it proportional to size, 0 equal
+    for all. Documents are ranked by random odds over the odds of their inclusion (Pareto order sampling), and the sample ends where its tokens reach what
     is missing. So its size in tokens is fixed, short by less than one document; that is filled with documents that still fit,
     until none does. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report has
     ``source, weight, max_repeats, available, goal, tokens, documents, share``; sources that give nothing have share 0.
@@ -105,9 +109,9 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     certain = F.floor(F.col("goal") / F.col("available"))
     few = plan.where("goal > 0").select("source", "max_repeats", certain.alias("certain"), (F.col("goal") - certain * F.col("available")).alias("rest"))
     rest = keep(few.where("rest > 0 AND certain < max_repeats").select("source", "rest"))
-    factor = keep(inclusion(docs, rest))
+    factor = keep(inclusion(docs, rest, power))
     # One row per target source: the targets are a list made by hand; its size is checked by Spark's own broadcast threshold.
-    u, p = uniform(F.col(key), seed), F.least(F.col("factor") * F.col("tokens"), F.lit(1.0))
+    u, p = uniform(F.col(key), seed), F.least(F.col("factor") * F.pow(F.col("tokens").cast("double"), F.lit(float(power))), F.lit(1.0))
     odds = F.when(p < 1, p / (1 - p))
     rank = F.when(odds.isNull(), F.lit(0.0)).otherwise((u / (1 - u)) / odds)
     ranked = keep(docs.join(factor, "source").withColumn("rank", rank).select(key, "source", "tokens", "rank", F.floor(F.col("rank") / (F.col("rank") + 1) * BUCKETS).alias("bucket")))

@@ -44,7 +44,7 @@ def test_chances_follow_sizes(spark):
     sizes = [10] * 120 + [20] * 80 + [40] * 40 + [700]
     draws, goal = 200, 2000
     docs = [(d * 1000 + i, f"s{d}", t, "") for d in range(draws) for i, t in enumerate(sizes)]
-    got, report = mixed(spark, docs, [(f"s{d}", 1 / draws, 1) for d in range(draws)], total=draws * goal)
+    got, report = mixed(spark, docs, [(f"s{d}", 1 / draws, 1) for d in range(draws)], total=draws * goal, power=1.0)
     # 700 is certain; what is missing, 1300, is shared out in proportion to size: factor = 1300 / sum of squares.
     factor = 1300 / sum(t * t for t in sizes if t < 700)
     assert abs(sum(min(1, factor * t) * t for t in sizes[:-1]) - 1300) < 1e-9
@@ -56,6 +56,13 @@ def test_chances_follow_sizes(spark):
         chance = n[t] / draws / sizes.count(t)
         assert abs(chance - factor * t) < 0.08 * factor * t, (t, chance, factor * t)
     assert all(1990 <= r["tokens"] <= 2000 for r in report.values())
+    # By default the chance falls with the root of the size, and none is certain here.
+    got, report = mixed(spark, docs, [(f"s{d}", 1 / draws, 1) for d in range(draws)], total=draws * goal)
+    n = {t: sum(r["tokens"] == t for r in got.values()) for t in (10, 20, 40)}
+    factor = goal / sum(t**0.5 for t in sizes)
+    for t in (10, 20, 40):
+        chance = n[t] / draws / sizes.count(t)
+        assert abs(chance - factor * t**-0.5) < 0.12 * factor * t**-0.5, (t, chance, factor * t**-0.5)
 
 
 def test_empty(spark):
