@@ -52,8 +52,10 @@ def dependents(edges: DataFrame, roots: DataFrame) -> DataFrame:
         if nxt.isEmpty():
             release(nxt)
             return seen.where("depth > 0")
-        seen = seen.unionByName(nxt.select("root", "entry_id", F.lit(depth).cast("long").alias("depth")))
-        front = nxt
+        # One table of all that is known, so a round reads what there is once, whatever the number of rounds before.
+        more = keep(seen.unionByName(nxt.select("root", "entry_id", F.lit(depth).cast("long").alias("depth"))))
+        release(seen), release(front)
+        seen, front = more, nxt
 
 
 def flow_steps(flows: DataFrame) -> DataFrame:
@@ -77,10 +79,12 @@ def neighbours(edges: list[tuple[str, DataFrame]], hits: DataFrame, informed: Da
     return got.select("node_id", (F.col("n") + F.coalesce("_more", F.lit(0))).alias("score")).orderBy(F.desc("score"), "node_id").limit(limit)
 
 
-def same_flow(flows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``src, dst`` of different nodes on one flow."""
+def same_flow(flows: DataFrame, nodes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """``src, dst`` of different nodes on one flow; ``of``: only for these ``src`` (``node_id``), so that no other flow is joined."""
     s = resolve_now(flow_steps(flows).select("flow", "ref").distinct(), nodes).select("flow", "node_id").distinct()
     a, b = s.withColumnRenamed("node_id", "src"), s.withColumnRenamed("node_id", "dst")
+    if of is not None:
+        a = a.join(of.select(F.col("node_id").alias("src")).distinct(), "src", "left_semi")
     return a.join(b, "flow").where("src <> dst").select("src", "dst").distinct()
 
 

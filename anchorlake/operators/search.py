@@ -43,20 +43,21 @@ def search(post: DataFrame, nodes: DataFrame, query: str, limit: int = 10) -> Da
     """The best ``limit`` nodes: ``node_id, score, place``.
 
     Two points for each distinct query token that a node has. If all tokens together have fewer than three postings, each
-    occurrence of a trigram of the query in a node's tokens gives one more point. Order: score, level, node id. The query's
-    tokens are a handful of literals, so they filter the postings' scan and nothing is shuffled before the count per node.
-    ``post`` is read three times; make it a stored index.
+    occurrence of a trigram of the query in a node's tokens gives one more point. Order: score, level, node id. ``post`` is a
+    stored index: the query's tokens, a handful, filter its scan, and only if they find too little its tokens are cut into
+    trigrams.
     """
-    spark = post.sparkSession
-    toks = spark.range(1).select(F.explode(T.tokens(F.lit(query))).alias("token"))
-    post = post.select("token", "node_id").distinct()
-    hits = post.join(F.broadcast(toks), "token").select("node_id", F.lit(EXACT).alias("points"))
-    exact = hits.agg(F.count("*").alias("exact"))
-    asked = toks.select(F.explode(T.trigrams(F.col("token"))).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("times"))
-    grams = post.select("node_id", F.explode(T.trigrams(F.col("token"))).alias("trigram")).distinct()
-    # One row tells whether the exact hits suffice; both small sides are bounded by the query's length.
-    fuzzy = grams.join(F.broadcast(asked), "trigram").join(F.broadcast(exact.where(F.col("exact") < FEW)), F.lit(True)).select("node_id", F.col("times").cast("int").alias("points"))
-    scored = hits.unionByName(fuzzy).groupBy("node_id").agg(F.sum("points").alias("score")).join(nodes.select("node_id", level_rank(F.col("level")).alias("_rank")), "node_id")
+    one = post.sparkSession.range(1)
+    words = one.select(T.tokens(F.lit(query)).alias("t")).first()["t"]
+    post = post.select("token", "node_id")
+    hits = post.where(F.col("token").isin(words)).distinct() if words else post.limit(0)
+    scores = hits.select("node_id", F.lit(EXACT).alias("points"))
+    if hits.limit(FEW).count() < FEW:
+        asked = one.select(F.explode(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>")).alias("w")).select(F.explode(T.trigrams(F.col("w"))).alias("trigram")).groupBy("trigram").agg(F.count("*").alias("times"))
+        # The query's own trigrams: bounded by its length.
+        fuzzy = post.select("node_id", F.explode(T.trigrams(F.col("token"))).alias("trigram")).join(F.broadcast(asked), "trigram").select("node_id", "trigram", "times").distinct()
+        scores = scores.unionByName(fuzzy.select("node_id", F.col("times").cast("int").alias("points")))
+    scored = scores.groupBy("node_id").agg(F.sum("points").alias("score")).join(nodes.select("node_id", level_rank(F.col("level")).alias("_rank")), "node_id")
     top = scored.orderBy(F.desc("score"), "_rank", "node_id").limit(limit)
     return top.withColumn("place", F.row_number().over(W.orderBy(F.desc("score"), "_rank", "node_id"))).select("node_id", "score", "place")
 

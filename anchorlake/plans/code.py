@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anchorlake.common import keep, table
-from anchorlake.operators import calls, cards, graph, journal, search, sources
+from anchorlake.operators import calls, cards, graph, health, journal, search, sources
 from anchorlake.plans import model as m
 from anchorlake.plans import retrieval as r
 from anchorlake.sources import files as io
@@ -170,9 +170,8 @@ def semantic_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def truth_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One hash over all cards' items, whatever their order: sums of two hashes per item."""
-    part = lambda seed: F.sum(F.pmod(F.xxhash64("lane", "node_id", "facet", "reference", "text", F.lit(seed)), F.lit(2**53)).cast("decimal(38,0)"))
-    return card_items(spark, sf_dir).agg(F.count("*").alias("items"), F.sha2(F.concat_ws(":", part(1).cast("string"), part(2).cast("string")), 256).alias("fingerprint"))
+    """One hash over all cards' items, whatever order they come in."""
+    return health.fingerprint(card_items(spark, sf_dir), ["lane", "node_id", "facet", "reference", "text"])
 
 
 def fake_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,6 +226,7 @@ SQL = {
     "reconcile_status": _H
     + "SELECT o.node_id, CASE WHEN o.hash = w.hash THEN 'keep' WHEN informed THEN 'suspect' ELSE 'refresh' END AS action, NULL::VARCHAR AS successor FROM o JOIN w USING (node_id) UNION ALL SELECT a, 'migrate', b FROM mv UNION ALL SELECT node_id, CASE WHEN informed THEN 'orphan' ELSE 'drop' END, NULL FROM gone WHERE node_id NOT IN (SELECT a FROM mv) UNION ALL SELECT node_id, 'create', NULL FROM come WHERE node_id NOT IN (SELECT b FROM mv)",
     "card_items": m.quoted(_ITEMS + "SELECT * FROM it WHERE text <> ''"),
+    "truth_fingerprint": m.quoted(_ITEMS + ", y AS (SELECT sha256(" + " || ".join(f"printf('%08X', strlen({c})) || {c}" for c in ("lane", "node_id", "facet", "reference", "text")) + ") AS hh FROM it WHERE text <> ''), pp AS (SELECT substring(hh, 1, 2) AS p, count(*) AS k, sha256(string_agg(hh, '' ORDER BY hh)) AS dg FROM y GROUP BY 1) SELECT sum(k)::BIGINT AS records, sha256(string_agg(dg, '' ORDER BY p)) AS fingerprint FROM pp"),
     "path_collisions": m.BASE + "SELECT lower(path) AS folded, count(*) AS paths FROM (SELECT file AS path FROM source_files WHERE file IS NOT NULL UNION SELECT file FROM n WHERE file IS NOT NULL) GROUP BY 1 HAVING count(*) > 1",
     "path_remap": m.BASE + "SELECT node_id, CASE WHEN starts_with(node_id, 'pkg/fusion_') THEN 'fused/' || substring(node_id, 12) WHEN starts_with(node_id, 'pkg/') THEN 'core/' || substring(node_id, 5) WHEN starts_with(node_id, 'internal/') THEN 'pkg/' || substring(node_id, 10) ELSE node_id END AS mapped FROM n",
 }

@@ -20,8 +20,9 @@ def _laned(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _index(n: DataFrame, laned: DataFrame) -> DataFrame:
-    """The stored search index, one folder per lane, so that a search of one lane reads no other."""
-    return keep(search.postings(n, laned), "lane")
+    """The stored search index, one folder per lane, so that a search of one lane reads no other; in order of tokens, so that a
+    token's rows lie together and other row groups are passed over."""
+    return keep(search.postings(n, laned).sortWithinPartitions("lane", "token"), "lane")
 
 
 def _search(query: str, lane: str | None, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,8 +135,8 @@ def structural_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = m.entries(spark, sf_dir)
     rest = graph.rested_on_nodes(graph.entry_edges(e, n, "based_on"), e)
     back = rest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hits = search.search(_index(n, laned).where("lane = 'current'"), n, EXACT_QUERY)
-    return graph.neighbours([("rests on", rest), ("supports", back), ("flow", graph.same_flow(m.flows(spark, sf_dir), n))], hits, e.where("active"))
+    hits = keep(search.search(_index(n, laned).where("lane = 'current'"), n, EXACT_QUERY))
+    return graph.neighbours([("rests on", rest), ("supports", back), ("flow", graph.same_flow(m.flows(spark, sf_dir), n, hits))], hits, e.where("active"))
 
 
 def patrol_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

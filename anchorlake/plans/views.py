@@ -56,7 +56,7 @@ def task_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What bears on a task in one file."""
     n, laned = r._laned(spark, sf_dir)
     found = keep(search.search(r._index(n, laned), n, r.RISK_QUERY, 30))
-    near = graph.neighbours([("flow", graph.same_flow(m.flows(spark, sf_dir), n))], found, laned, 20)
+    near = graph.neighbours([("flow", graph.same_flow(m.flows(spark, sf_dir), n, found))], found, laned, 20)
     return composite.task_evidence(found, near.join(found, "node_id", "left_anti"), SCOPE, n, laned)
 
 
