@@ -67,11 +67,11 @@ def _take(ranked: DataFrame, rest: DataFrame, key: str) -> DataFrame:
     return marked.where("_upto <= rest").select(*cols).unionByName(last.select(*cols))
 
 
-def _fill(left: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> list[DataFrame]:
+def _fill(left: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> tuple[list[DataFrame], DataFrame]:
     """What still fits after the sample was cut: of each source the greatest document that does, again and again until none fits.
 
     ``rest`` is what a source lacks, less than one document of its own. Each round is one aggregate over the documents that fit;
-    as the greatest is taken, few rounds do.
+    as the greatest is taken, few rounds do. The second result is what each source then lacks.
     """
     out = []
     left = keep(left.join(taken.select(key), key, "left_anti").join(rest, "source").where("tokens <= rest").select(key, "source", "tokens"))
@@ -79,14 +79,26 @@ def _fill(left: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> list[
         best = keep(left.join(rest, "source").where("tokens <= rest").groupBy("source").agg(F.max(F.struct("tokens", key)).alias("_m")).select("source", "_m.*"))
         if best.isEmpty():
             release(best), release(left)
-            return out
+            return out, rest
         out.append(best.select(key, "source", "tokens"))
-        rest = keep(rest.join(best.select("source", F.col("tokens").alias("_got")), "source").select("source", (F.col("rest") - F.col("_got")).alias("rest")))
+        rest = keep(rest.join(best.select("source", F.col("tokens").alias("_got")), "source", "left").select("source", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("rest")))
         nxt = keep(left.join(rest, "source").where("tokens <= rest").select(key, "source", "tokens").join(best.select(key), key, "left_anti"))
         release(left)
         left = nxt
 
 
+def _exchange(ranked: DataFrame, taken: DataFrame, rest: DataFrame, key: str) -> DataFrame:
+    """``source, out, into``: of each source that still lacks something, the document to be put out and the one to be taken for it.
+
+    What comes in is the smallest document left; what goes out the smallest taken that makes room for it. So what is lacking falls
+    from less than the former to about the distance between two sizes.
+    """
+    left = ranked.join(taken.select(key), key, "left_anti").groupBy("source").agg(F.min(F.struct("tokens", key)).alias("_b"))
+    want = rest.where("rest > 0").join(left, "source").select("source", "_b", (F.col("_b.tokens") - F.col("rest")).alias("_need"))
+    room = taken.join(want, "source").where("tokens >= _need AND tokens < _b.tokens").groupBy("source").agg(F.min(F.struct("tokens", key)).alias("_a"), F.first("_b").alias("_b"))
+    return room.select("source", F.col(f"_a.{key}").alias("out"), F.col(f"_b.{key}").alias("into"))
+
+
 def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int | None = None, seed: int = 1, power: float = POWER) -> tuple[DataFrame, DataFrame]:
     """The mixture (``key, source, tokens, copies``; copies at least 1) and its report per target source.
 
@@ -97,7 +109,7 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     are likelier than longer ones, so that a source's share isn't filled by a few giants; 1 makes it proportional to size, 0 equal
     for all. Documents are ranked by random odds over the odds of their inclusion (Pareto order sampling), and the sample ends where its tokens reach what
     is missing. So its size in tokens is fixed, short by less than one document; that is filled with documents that still fit,
-    until none does. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report has
+    until none does, and then one document of a source may be exchanged for a longer one. No document is used more than ``max_repeats`` times. The same seed gives the same mixture. The report has
     ``source, weight, max_repeats, available, goal, tokens, documents, share``; sources that give nothing have share 0.
 
     Of a source of any size only sums per size and per bucket of ranks, and the rows of one bucket in 65,536, are sorted in one
@@ -117,9 +129,11 @@ def mixture(docs: DataFrame, targets: DataFrame, key: str = "doc_id", total: int
     ranked = keep(docs.join(factor, "source").withColumn("rank", rank).select(key, "source", "tokens", "rank", F.floor(F.col("rank") / (F.col("rank") + 1) * BUCKETS).alias("bucket")))
     taken = keep(_take(ranked, rest, key))
     lack = keep(rest.join(taken.groupBy("source").agg(F.sum("tokens").alias("_got")), "source", "left").select("source", (F.col("rest") - F.coalesce("_got", F.lit(0))).alias("rest")))
-    more = taken.select(key)
-    for filled in _fill(ranked, taken, lack, key):
-        more = more.unionByName(filled.select(key))
+    filled, lack = _fill(ranked, taken, lack, key)
+    for f in filled:
+        taken = taken.unionByName(f)
+    swap = keep(_exchange(ranked, taken, lack, key))
+    more = taken.select(key).join(swap.select(F.col("out").alias(key)), key, "left_anti").unionByName(swap.select(F.col("into").alias(key)))
     out = docs.join(few, "source").join(more.select(key, F.lit(1).alias("more")), key, "left")
     out = out.select(key, "source", "tokens", F.least(F.col("certain") + F.coalesce("more", F.lit(0)), F.col("max_repeats")).cast("long").alias("copies")).where("copies > 0")
     got = out.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count("*").alias("documents"))
