@@ -9,7 +9,7 @@ from tests.test_parity import DIR, compare
 
 
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="needs the test tables")
-@pytest.mark.parametrize("name", ["p4_found", "p5_found", "p7_daily_sketches", "p7_percentiles"])
+@pytest.mark.parametrize("name", ["p4_found", "p5_found", "p5_classes", "p7_daily_sketches", "p7_within_bounds", "p9_share_check"])
 def test_same_rows(spark, name):
     compare(spark, name, registry.QUERIES, registry.SQL)
 
