@@ -55,3 +55,15 @@ def test_links_of_texts_with_common_words(spark, within):
     want = {(a, b) for a in one for b in one if a < b and (not within or one[a][0] == one[b][0]) and alike(one[a][1], one[b][1])}
     assert len(want) > 100 and sorted((r["class_a"], r["class_b"]) for r in links) == sorted(want)
     assert most < 5 * len(rows)
+
+def test_collisions_of_texts_with_common_words(spark):
+    rows = texts(1000)
+    left, right = spark.createDataFrame([(k, t) for k, _, t in rows], "key string, text string"), spark.createDataFrame([("r" + k[-2:], t) for k, _, t in rows[::2]], "id string, option string")
+    got, most = written(spark, lambda: similarity.collides(left, "key", right).collect())
+    want = {}
+    for k, _, t in rows:
+        for j, _, o in rows[::2]:
+            if alike(t, o):
+                want[k, "r" + j[-2:]] = min(o, want.get((k, "r" + j[-2:]), o))
+    assert {(r["key"], r["id"]): r["option"] for r in got} == want
+    assert most < 5 * len(rows)
