@@ -72,7 +72,7 @@ def test_collisions_of_texts_with_common_words(spark):
     assert most < 5 * len(rows)
 
 
-NAMES = ["dup_cross_links", "dup_cross_first", "debts_all", "debt_counts", "debt_next"]
+NAMES = ["dup_cross_links", "dup_cross_first", "debts_all", "debt_counts", "debt_next", "maintenance_plan"]
 
 
 @pytest.fixture(scope="module")
