@@ -14,7 +14,7 @@ from anchorlake.plans import registry
 
 TABLES = "/root/testdata/sf0.001"
 #: Tables that the result still reads.
-LEFT = {"dup_cross_links": 1, "dup_cross_first": 2, "debt_counts": 9, "maintenance_plan": 10}
+LEFT = {"dup_cross_links": 1, "dup_cross_first": 2, "debt_counts": 9, "maintenance_plan": 10, "debt_next": 9}
 
 
 def shuffles(spark):
